@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspan.llm.garbled import repair_texts
 from quillspan.llm.tokenize import encode_column
 
 
@@ -15,5 +16,16 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_column(_table(spark, d, "documents").select("doc_id", "text"), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (p8_ids,)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    got = repair_texts(_table(spark, d, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return got.where("garbled").select("doc_id")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Garbled documents with the original text, null where it cannot be restored."""
+    got = repair_texts(_table(spark, d, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return got.where("garbled").select("doc_id", "restored", "layers")
+
+
+QUERIES = {f.__name__: f for f in (p8_ids, p10_found, p10_restored)}
 ORACLES: dict[str, str] = {}
