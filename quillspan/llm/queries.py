@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspan.llm.garbled import repair_texts
+from quillspan.llm.mainbody import keyword_pages, main_pieces, main_text
 from quillspan.llm.tokenize import encode_column
 
 
@@ -12,6 +13,24 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _deliveries(spark: SparkSession, d: str) -> DataFrame:
+    """Fetches that have a page. Pages are not shuffled to drop the second deliveries; results are."""
+    return _table(spark, d, "pt_crawl").where("page is not null and page <> ''").select("crawl_id", "host", "page")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return main_pieces(_deliveries(spark, d), ["crawl_id"]).select("crawl_id", "piece_no").distinct()
+
+
+def p1_text(spark: SparkSession, d: str) -> DataFrame:
+    """The main body of each fetch as rendered text."""
+    return main_text(_deliveries(spark, d), ["crawl_id"]).select("crawl_id", "main").distinct()
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return keyword_pages(_deliveries(spark, d), ["crawl_id"]).where("keywords_only").select("crawl_id").distinct()
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_column(_table(spark, d, "documents").select("doc_id", "text"), keep=["doc_id"])
 
@@ -27,5 +46,5 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return got.where("garbled").select("doc_id", "restored", "layers")
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_text, p2_found, p8_ids, p10_found, p10_restored)}
 ORACLES: dict[str, str] = {}
