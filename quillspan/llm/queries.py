@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspan.llm.garbled import repair_texts
 from quillspan.llm.mainbody import keyword_pages, main_pieces, main_text
+from quillspan.llm.nearcopies import similar_classes, similar_pairs
 from quillspan.llm.rankagg import rank_aggregate
 from quillspan.llm.tokenize import encode_column
 from quillspan.operators.joins import join_small
@@ -62,6 +63,22 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return join_small(top, asked, ["term"], spread=["page_key"]).select("query_id", "page_key")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    pages = _table(spark, d, "pt_crawl").select("crawl_id", "page")
+    return similar_pairs(pages, "crawl_id", "page", k=4, similarity=0.6, tags=True).select(F.col("id_a").alias("crawl_id_a"), F.col("id_b").alias("crawl_id_b"))
+
+
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The group of each page that has a run of words, and its number of links to different pages."""
+    pages = _table(spark, d, "pt_crawl").select("crawl_id", "page")
+    return similar_classes(pages, "crawl_id", "page", k=4, similarity=0.6, tags=True).withColumnRenamed("id", "crawl_id")
+
+
+def p6_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of documents that share four fifths of their runs of five words."""
+    return similar_classes(_table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_column(_table(spark, d, "documents").select("doc_id", "text"), keep=["doc_id"])
 
@@ -77,5 +94,5 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return got.where("garbled").select("doc_id", "restored", "layers")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_text, p2_found, p5_found, p5_ranking, p8_ids, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_text, p2_found, p5_found, p5_ranking, p6_found, p6_classes, p6_documents, p8_ids, p10_found, p10_restored)}
 ORACLES: dict[str, str] = {}
