@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspan.llm.garbled import repair_texts
 from quillspan.llm.mainbody import keyword_pages, main_pieces, main_text
+from quillspan.llm.mixing import mix, prepare
 from quillspan.llm.nearcopies import similar_classes, similar_pairs
 from quillspan.llm.rankagg import rank_aggregate
 from quillspan.llm.tokenize import encode_column
@@ -83,6 +84,24 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_column(_table(spark, d, "documents").select("doc_id", "text"), keep=["doc_id"])
 
 
+def _mix(spark: SparkSession, d: str, total: str | None = None) -> tuple[DataFrame, DataFrame]:
+    return mix(prepare(_table(spark, d, "documents").select("doc_id", "text", "source", "lang")), _table(spark, d, "mix_targets"), total=total)
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The largest mix in which every source that has documents meets its share."""
+    return _mix(spark, d)[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[1]
+
+
+def p9_full_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of a mix as large as all documents of the listed sources, where caps hold small sources down."""
+    return _mix(spark, d, "all")[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     got = repair_texts(_table(spark, d, "documents").select("doc_id", "text"), keep=["doc_id"])
     return got.where("garbled").select("doc_id")
@@ -94,5 +113,5 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return got.where("garbled").select("doc_id", "restored", "layers")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_text, p2_found, p5_found, p5_ranking, p6_found, p6_classes, p6_documents, p8_ids, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_text, p2_found, p5_found, p5_ranking, p6_found, p6_classes, p6_documents, p8_ids, p9_mix, p9_shares, p9_full_shares, p10_found, p10_restored)}
 ORACLES: dict[str, str] = {}
