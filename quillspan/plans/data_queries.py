@@ -60,3 +60,13 @@ def p7_layout(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p4_found, p7_found, p7_layout)}
+
+_POSTINGS = "postings as (select distinct posting_id, term, urls from pt_index where posting_id is not null)"
+# Every url of the index names its port, and no text inside a url does.
+_HOSTS = "hosts_of as (select posting_id, unnest(regexp_extract_all(urls, 'https?://([^/:]+):[0-9]+/', 1)) as host from postings)"
+ORACLES = {
+    "p3_counts": f"with {_POSTINGS}, {_HOSTS} select 'term' as key_kind, term as key_name, count(*) as n_rows, sum(len(coalesce(regexp_extract_all(urls, 'https?://[^/:]+:[0-9]+/'), []))) as n_values from postings where term is not null group by term "
+    "union all select 'host', host, count(distinct posting_id), count(*) from hosts_of group by host",
+    "p3_found": f"with {_POSTINGS}, {_HOSTS} select 'term' as key_kind, term as key_name from postings where term is not null group by term having count(*) * 40 >= (select count(*) from postings) "
+    "union all select 'host', host from hosts_of group by host having count(*) * 40 >= (select count(*) from hosts_of)",
+}

@@ -1 +1 @@
-
+"""Streams: none yet. The jobs here are batch; a crawl frontier is an iterated batch."""
