@@ -114,4 +114,10 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_text, p2_found, p5_found, p5_ranking, p6_found, p6_classes, p6_documents, p8_ids, p9_mix, p9_shares, p9_full_shares, p10_found, p10_restored)}
-ORACLES: dict[str, str] = {}
+_RANKED = (
+    "c as (select term, doc, max(value) as v from pt_tf where term is not null and doc is not null group by term, doc), r as (select page_key, arg_max_null(rank, computed_at) as rank from pt_pageranks group by page_key), "
+    "x as (select term, doc, count(*) over (partition by term) as n, row_number() over (partition by term order by v desc nulls last, doc) as pv, row_number() over (partition by term order by rank desc nulls last, doc) as pr from c left join r on doc = r.page_key)"
+)
+ORACLES: dict[str, str] = {
+    "p5_found": f"with {_RANKED} select distinct query_id, doc as page_key from x join search_queries using (term) where pv <= n // 10 and pr <= n // 10",
+}
