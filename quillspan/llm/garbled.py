@@ -49,6 +49,15 @@ def _sequences(encoding: str) -> re.Pattern:
 
 
 _SEQUENCES = {e: _sequences(e) for e in SHOWN_AS}
+
+
+def _starts() -> re.Pattern:
+    """Two characters with which a sequence of any encoding may start."""
+    kind = lambda a, z: "".join(sorted({re.escape(c) for e in SHOWN_AS for c, b in _BYTES[e].items() if a <= b <= z}))
+    return re.compile(f"[{kind(0xC2, 0xF4)}][{kind(0x80, 0xBF)}]")
+
+
+_STARTS = _starts()
 #: Ranges in which a repaired character may lie: C1 (of a deeper layer), Latin, Greek, Cyrillic, Semitic, Indic, kana, Han, Hangul, punctuation, symbols.
 _PLAUSIBLE = re.compile("[\x80-ſƒˆˇ˘-˝\u0300-\u0304\u0306-\u0308\u030a-\u030c\u0327\u0328Ά-ώЀ-џҐґא-תء-يऀ-ॿก-๎‐-⁉€№™←-↓∞≠≤≥─-▀　-ヿ一-鿿가-힣ﬁﬂ️﻿！-～\U0001f1e6-\U0001faff]")
 _CYRILLIC = re.compile("[Ѐ-џ]")
@@ -190,7 +199,8 @@ def certain_signs(text: str) -> int:
     if text.isascii() and "&" not in text:
         return 0
     plain = _LETTER_ENTITY.sub(lambda m: html.unescape(m.group()), text) if "&" in text else text
-    return text.count("�") + len(_C1.findall(text)) + max(_unpack_utf8(plain, e)[1] for e in SHOWN_AS)
+    shown = max(_unpack_utf8(plain, e)[1] for e in SHOWN_AS) if _STARTS.search(plain) else 0
+    return text.count("�") + len(_C1.findall(text)) + shown
 
 
 def _layer(text: str, cost: ContextCost) -> str | None:
@@ -200,8 +210,7 @@ def _layer(text: str, cost: ContextCost) -> str | None:
     if japanese != lines:
         return "\n".join(japanese)
     plain = _LETTER_ENTITY.sub(lambda m: html.unescape(m.group()), text) if "&" in text else text
-    tries = sorted(((_unpack_utf8(plain, e), e) for e in SHOWN_AS), key=lambda x: -x[0][1])
-    (best, n), _ = tries[0]
+    best, n = max((_unpack_utf8(plain, e) for e in SHOWN_AS), key=lambda x: x[1]) if _STARTS.search(plain) else (plain, 0)
     if n and certain_signs(best) < certain_signs(text) + n:
         return best
     if _C1.search(text):  # Windows text read as ISO 8859-1
