@@ -14,6 +14,7 @@ from quillspan.functions.stem import with_stems
 from quillspan.operators.dataset import Bag, Engine, Pairs
 from quillspan.operators.upsert import compare_and_set, put_cells, put_rows
 from quillspan.plans import jobs as J
+from quillspan.session import materialize, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,7 +44,8 @@ def query(sql: str | None = None):
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    table = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(table) if name in ("documents", "pt_crawl") else table  # texts take long in the tasks
 
 
 def _bag(spark: SparkSession, d: str, table: str, column: str) -> Bag:
@@ -389,7 +391,7 @@ _STEP = "r{b} as (select l.page_key as id, 0.15 + 0.85 * coalesce(f.x, 0) as r f
 
 @query(f"with {_EDGES}, " + ", ".join(_STEP.format(a=i, b=i + 1) for i in range(5)) + " select id, round(r, 6) as rank from r5")
 def pagerank(spark, d):
-    pages = J.materialize(J.latest_pages(_t(spark, d, "pt_crawl")).select("page_key", "url", "page"), "pages")
+    pages = materialize(J.latest_pages(_t(spark, d, "pt_crawl")).select("page_key", "url", "page"), "pages")
     ranks = J.pagerank(J.link_edges(pages), pages.select(F.col("page_key").alias("id")), rounds=5)
     return ranks.select("id", F.round("rank", 6).alias("rank"))
 

@@ -59,6 +59,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table read in fewer partitions than there are cores, dealt out to all of them.
+
+    For work in tasks that takes far longer than moving the rows. Only for a plain read: its plan tells
+    the partitions without running anything.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def hadoop_fs(spark: SparkSession, path: str):
     """(FileSystem, Path) of ``path`` on the driver's JVM."""
     jvm = spark.sparkContext._jvm
