@@ -12,10 +12,12 @@ from quillspan.llm.nearcopies import similar_classes, similar_pairs
 from quillspan.llm.rankagg import rank_aggregate
 from quillspan.llm.tokenize import encode_column
 from quillspan.operators.joins import join_small
+from quillspan.session import spread
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    table = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(table) if name in ("documents", "pt_crawl") else table  # texts take long in the tasks
 
 
 def _deliveries(spark: SparkSession, d: str) -> DataFrame:
