@@ -27,8 +27,22 @@ def tokens(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """The non-empty tokens."""
-    return F.filter(tokens(text), lambda t: t != "")
+    """The non-empty tokens, found directly (faster than splitting and filtering)."""
+    return words_of_plain(plain(text))
+
+
+def plain(text: Column) -> Column:
+    """Lower-cased text without tags."""
+    return strip_tags(F.lower(text))
+
+
+def words_of_plain(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0))
+
+
+def token_count(text: Column, found: Column) -> Column:
+    """Number of ``tokens``, from the plain text and its words: one more if the text starts with none."""
+    return F.size(found) + F.when(text.rlike("^[a-z0-9]"), F.lit(0)).otherwise(F.lit(1))
 
 
 def query_words(text: Column) -> Column:

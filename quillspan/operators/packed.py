@@ -61,7 +61,8 @@ def explode_packed(df: DataFrame, column: str, *, value: str = "value", position
     their values. An empty table gives an empty table.
     """
     keep = [F.col(f"`{c}`") for c in df.columns if c not in (value, position)]
-    return df.select(*keep, F.posexplode(split(F.col(f"`{column}`"))).alias(position, value))
+    # The outer form keeps the optimizer from splitting once more for a filter on the array's size.
+    return df.select(*keep, F.posexplode_outer(split(F.col(f"`{column}`"))).alias(position, value)).where(F.col(f"`{position}`").isNotNull())
 
 
 def once_per_key(df: DataFrame, key: str, order_by: list[str] | None = None) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Pipelines: term statistics, index, links and ranks, search, crawl frontier."""
+"""Pipelines: term statistics, index, links and ranks, search, crawl frontier.
+
+Costly arrays are exploded by ``explode_outer`` with a filter behind it: for ``explode`` the optimizer adds
+a filter on the array's size before it, for which the array would be made once more.
+"""
 
 from __future__ import annotations
 
@@ -17,20 +21,19 @@ from quillspan.session import materialize
 PACKED_URLS = 100_000
 
 
-def term_counts(docs: DataFrame, doc: str, text: str, stems: bool = False) -> DataFrame:
-    """(doc, term, n, words): occurrences of each term and the number of tokens, a leading empty one included."""
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), T.tokens(F.col(text)).alias("t"))
-    each = rows.select("doc", F.size("t").alias("words"), F.explode("t").alias("term")).where("term <> ''")
-    counted = each.groupBy("doc", "words", "term").agg(F.count(F.lit(1)).alias("n"))
-    if not stems:
-        return counted
-    # Counted before the join with the stemmed vocabulary, so that moves one row per distinct word.
-    return with_stems(counted, "term").groupBy("doc", "words", F.col("stem").alias("term")).agg(F.sum("n").alias("n"))
-
-
 def term_frequency(docs: DataFrame, doc: str, text: str, stems: bool = False) -> DataFrame:
-    """(doc, term, tf): share of a document's tokens."""
-    return term_counts(docs, doc, text, stems).groupBy("doc", "term").agg(F.sum(F.col("n") / F.col("words")).alias("tf"))
+    """(doc, term, tf): share of a document's tokens, a leading empty one included; rows of one document add up.
+
+    Shares are summed per term before the shuffle and, with ``stems``, before the join with the stemmed
+    vocabulary, so that only distinct words move.
+    """
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), T.plain(F.col(text)).alias("plain"))
+    found = rows.select("doc", "plain", T.words_of_plain(F.col("plain")).alias("t"))
+    each = found.select("doc", (1 / T.token_count(F.col("plain"), F.col("t"))).alias("share"), F.explode_outer("t").alias("term")).where("term is not null")
+    tf = each.groupBy("doc", "term").agg(F.sum("share").alias("tf"))
+    if not stems:
+        return tf
+    return with_stems(tf, "term").groupBy("doc", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
 
 
 def document_frequency(pairs: DataFrame) -> DataFrame:
@@ -50,7 +53,7 @@ def idf_smoothed(pairs: DataFrame, documents: int) -> DataFrame:
 
 def postings(docs: DataFrame, url: str, text: str, lexicon: DataFrame | None = None) -> DataFrame:
     """(term, url) once each, of the terms of a lexicon where one is given."""
-    rows = docs.select(F.col(url).alias("url"), F.explode(F.array_distinct(T.words(F.col(text)))).alias("term"))
+    rows = docs.select(F.col(url).alias("url"), F.explode_outer(F.array_distinct(T.words(F.col(text)))).alias("term")).where("term is not null")
     if lexicon is not None:
         rows = join_small(rows, lexicon.select("term").distinct(), ["term"], "left_semi", spread=["url"])
     return rows.select("term", "url").where("url is not null").distinct()
@@ -59,8 +62,9 @@ def postings(docs: DataFrame, url: str, text: str, lexicon: DataFrame | None = N
 def packed_index(pairs: DataFrame, most: int = PACKED_URLS) -> DataFrame:
     """(term, shard, urls): sorted urls joined by commas. A term of more than ``most`` urls has several shards,
     so that no row or task holds an unbounded list."""
+    pairs = materialize(pairs, "postings")
     sizes = pairs.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
-    shards = sizes.select("term", F.ceil(F.col("n") * 1.25 / most).alias("shards"))
+    shards = materialize(sizes.select("term", F.ceil(F.col("n") * 1.25 / most).alias("shards")), "index-shards")
     placed = join_small(pairs, shards, ["term"], "left", spread=["url"])
     shard = F.when(F.col("shards").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("url"), F.col("shards"))).cast("int")
     return placed.groupBy("term", shard.alias("shard")).agg(F.array_join(F.array_sort(F.collect_list("url")), ",").alias("urls"))
@@ -96,7 +100,7 @@ def latest_pages(crawl: DataFrame) -> DataFrame:
 
 def link_edges(pages: DataFrame) -> DataFrame:
     """(src, dst) per link, repeated ones included, of (page_key, url, page); links that resolve to nothing are left out."""
-    each = pages.select(F.col("page_key").alias("src"), "url", F.explode(U.links(F.col("page"))).alias("link"))
+    each = pages.select(F.col("page_key").alias("src"), "url", F.explode_outer(U.links(F.col("page"))).alias("link"))
     return each.select("src", U.absolute(F.col("url"), F.col("link")).alias("to")).where("to is not null").select("src", row_key(F.col("to")).alias("dst"))
 
 

@@ -202,7 +202,7 @@ def anti_join_seen(spark, d):
 
 @query(f"with w as (select doc_id, unnest({_tokens('text')}) as term from documents where text is not null) select doc_id, term from w where term in (select term from pt_idf where term is not null and term <> '')")
 def semi_join_lexicon(spark, d):
-    words = _t(spark, d, "documents").select("doc_id", F.explode(T.words(F.col("text"))).alias("term"))
+    words = _t(spark, d, "documents").select("doc_id", F.explode_outer(T.words(F.col("text"))).alias("term")).where("term is not null")
     return J.join_small(words, _t(spark, d, "pt_idf").where("term is not null").select("term").distinct(), ["term"], "left_semi", spread=["doc_id"])
 
 
@@ -211,7 +211,7 @@ _LIST = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 
 @query(f"with w as (select unnest({_tokens('text')}) as term from documents where text is not null) select distinct term from w where term <> '' and term not in ({_LIST})")
 def stop_words_removed(spark, d):
-    words = _t(spark, d, "documents").select(F.explode(T.words(F.col("text"))).alias("term"))
+    words = _t(spark, d, "documents").select(F.explode_outer(T.words(F.col("text"))).alias("term")).where("term is not null")
     return words.where(~F.col("term").isin(T.STOP_WORDS)).distinct()
 
 
@@ -240,7 +240,7 @@ _ANCHOR = """(?i)<a[^>]*href=["'']([^"''#>]+)["''][^>]*>"""
 
 @query(f"select crawl_id, unnest(regexp_extract_all(page, '{_ANCHOR}', 1)) as link from pt_crawl where page is not null")
 def extract_links(spark, d):
-    return _t(spark, d, "pt_crawl").select("crawl_id", F.explode(F.regexp_extract_all("page", F.lit(U._ANCHOR), F.lit(1))).alias("link"))
+    return _t(spark, d, "pt_crawl").select("crawl_id", F.explode_outer(F.regexp_extract_all("page", F.lit(U._ANCHOR), F.lit(1))).alias("link")).where("link is not null")
 
 
 _LATEST = "latest as (select page_key, url, host, page from (select *, row_number() over (partition by page_key order by crawl_id desc nulls last, url) n from pt_crawl where page is not null and page <> '' and page_key is not null) where n = 1)"
@@ -251,7 +251,7 @@ _TARGETS = "targets as (select src, case when link similar to '(http|https)://.*
 @query(f"with {_LATEST}, {_LINKS}, {_TARGETS} select src, dst, count(*) as n from targets where not regexp_matches(regexp_extract(dst, '^[a-z]+://[^/]*([^?#]*)', 1), '[.](jpg|jpeg|png|gif|svg|css|js)$') group by src, dst")
 def resolved_links(spark, d):
     pages = J.latest_pages(_t(spark, d, "pt_crawl"))
-    each = pages.select(F.col("page_key").alias("src"), "url", F.explode(U.links(F.col("page"))).alias("link"))
+    each = pages.select(F.col("page_key").alias("src"), "url", F.explode_outer(U.links(F.col("page"))).alias("link"))
     return each.select("src", U.absolute(F.col("url"), F.col("link")).alias("dst")).where("dst is not null").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -331,7 +331,7 @@ def tf_pages(spark, d):
 
 
 def _doc_terms(spark, d):
-    return _t(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.explode(F.array_distinct(T.words(F.col("text")))).alias("term"))
+    return _t(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.explode_outer(F.array_distinct(T.words(F.col("text")))).alias("term")).where("term is not null")
 
 
 @query(f"with {_DOC_COUNTS} select term, round(ln((select count(*) from documents) / count(distinct doc)), 9) as idf from t where term <> '' group by term")
@@ -371,7 +371,7 @@ def index_merge(spark, d):
 
 @query()
 def lexicon_stems(spark, d):
-    words = _t(spark, d, "documents").select(F.explode(T.words(F.col("text"))).alias("value"))
+    words = _t(spark, d, "documents").select(F.explode_outer(T.words(F.col("text"))).alias("value"))
     return J.lexicon(words)
 
 
@@ -455,7 +455,7 @@ def host_cap(spark, d):
 @query()
 def frontier(spark, d):
     pages = J.latest_pages(_t(spark, d, "pt_crawl"))
-    found = pages.select(F.explode(U.links(F.col("page"))).alias("link"), "url").select(U.crawl_form(F.col("url"), F.col("link")).alias("url"))
+    found = pages.select(F.explode_outer(U.links(F.col("page"))).alias("link"), "url").select(U.crawl_form(F.col("url"), F.col("link")).alias("url"))
     return J.admit(found, _t(spark, d, "documents").select("url"), _t(spark, d, "hosts"), codes=U.LANGUAGE_CODES, patterns=PATTERNS)
 
 

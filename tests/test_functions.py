@@ -46,6 +46,13 @@ def test_with_stems(spark):
     assert {(r["i"], r["stem"]) for r in with_stems(df, "w").collect()} == {(1, "cat"), (2, "cat"), (3, None), (4, "")}
 
 
+def test_words_are_the_tokens_without_empties(spark):
+    texts = ["<p>It’s A\n<b\n>B-c 9</p> ", " \n", "", "a", " a b", "é<i>a", "<a", "x>y<z>"]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    for r in df.select("x", T.tokens(F.col("x")).alias("t"), T.words(F.col("x")).alias("w"), T.token_count(T.plain(F.col("x")), T.words(F.col("x"))).alias("n")).collect():
+        assert r["w"] == [t for t in r["t"] if t] and r["n"] == len(r["t"]), r
+
+
 def test_text(spark):
     assert one(spark, "<p>It’s A\n<b\n>B-c 9</p> ", T.tokens) == ["", "it", "s", "a", "b", "b", "c", "9"]
     assert one(spark, " \n", T.words) == [] and one(spark, None, T.words) is None
