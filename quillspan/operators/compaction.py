@@ -21,11 +21,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.session import hadoop_fs, materialize, remove_path, scratch_path
+from quillspan.session import hadoop_fs, materialize, release, remove_path, scratch_path
 from quillspan.sources.rowfile import parse_rows
 
-#: Column names of a record, fixed by the format.
-RECORD_COLUMNS = (b"crawlId", b"url", b"page", b"length", b"contentType", b"responseCode")
+#: Shards at most; beyond it each holds more bins.
+MOST_SHARDS = 20_000
 _STORED = "bin long, file_id long, offset long, key string, crawl_id long, url string, page binary, length int, content_type string, response_code int, crc long"
 
 
@@ -141,7 +141,7 @@ def _rewrite(target_bytes: int):
     return run
 
 
-def compact(files: DataFrame, target: str | None = None, *, target_bytes: int = 64 << 20, shard_bins: int = 1) -> Compacted:
+def compact(files: DataFrame, target: str | None = None, *, target_bytes: int = 64 << 20) -> Compacted:
     """Consolidate (file_id LONG, body BINARY) rows into files of about ``target_bytes``.
 
     ``target`` must not exist yet; by default it is a fresh path in the shared folder. Null or
@@ -161,7 +161,7 @@ def compact(files: DataFrame, target: str | None = None, *, target_bytes: int =
 
     manifest = materialize(files.select("file_id", F.length("body").cast("long").alias("n_bytes")), "manifest")
     total = manifest.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    shards = max(1, -(-total // (target_bytes * shard_bins)))
+    shards = min(MOST_SHARDS, max(1, -(-total // target_bytes)))
 
     # A record's identity is bound to one place; as the kept places are told by file, what moves is small.
     places = list_records(files).groupBy("identity").agg(F.min(F.struct("file_id", "offset", "crc")).alias("at"))
@@ -178,6 +178,8 @@ def compact(files: DataFrame, target: str | None = None, *, target_bytes: int =
     if (got["n"], got["crc"]) != (want["n"], want["crc"]):
         remove_path(spark, stage)
         raise ValueError(f"compaction not committed: {want['n']} records listed, {got['n']} written, checksums {want['crc']} and {got['crc']}")
+    release(manifest)
+    release(kept)
     report = json.dumps({"records": got["n"], "checksum": got["crc"], "files": got["files"], "target_bytes": target_bytes})
     spark.createDataFrame([(report,)], "value string").coalesce(1).write.text(f"{stage}/manifest")
     if not fs.rename(hadoop_fs(spark, stage)[1], final):

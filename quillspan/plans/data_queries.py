@@ -21,7 +21,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _postings(spark: SparkSession, d: str) -> DataFrame:
-    return once_per_key(_table(spark, d, "pt_index").select("posting_id", "term", "urls"), "posting_id")
+    return once_per_key(_table(spark, d, "pt_index").select("posting_id", "term", "urls"), "posting_id", ["urls", "term"])
 
 
 def _key_counts(spark: SparkSession, d: str) -> DataFrame:

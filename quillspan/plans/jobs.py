@@ -15,7 +15,7 @@ from quillspan.functions.hashing import row_key
 from quillspan.functions.stem import with_stems
 from quillspan.operators.joins import join_small
 from quillspan.operators.upsert import newest
-from quillspan.session import materialize
+from quillspan.session import materialize, release
 
 #: Most urls in one packed row of the index; larger terms have several rows.
 PACKED_URLS = 100_000
@@ -118,11 +118,13 @@ def pagerank(edges: DataFrame, nodes: DataFrame, *, damping: float = 0.85, epsil
     ranks = materialize(nodes.select("id", F.lit(1.0).alias("rank"), F.lit(1.0).alias("prev")), "ranks")
     for _ in range(rounds or most_rounds):
         flow = weighted.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("rank")).alias("flow"))
-        ranks = materialize(ranks.join(flow, "id", "left").select("id", (F.lit(1 - damping) + F.coalesce("flow", F.lit(0.0))).alias("rank"), F.col("rank").alias("prev")), "ranks")
+        last, ranks = ranks, materialize(ranks.join(flow, "id", "left").select("id", (F.lit(1 - damping) + F.coalesce("flow", F.lit(0.0))).alias("rank"), F.col("rank").alias("prev")), "ranks")
+        release(last)
         if rounds is None:
             still = ranks.agg(F.avg((F.abs(F.col("rank") - F.col("prev")) <= epsilon).cast("double"))).first()[0]
             if still is None or still >= share:
                 break
+    release(weighted)
     return ranks
 
 

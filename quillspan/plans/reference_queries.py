@@ -358,15 +358,14 @@ def inverted_index(spark, d):
 
 
 @query(
-    "with a as (select o_orderpriority as term, string_agg(cast(o_orderkey as varchar), ',' order by cast(o_orderkey as varchar)) as urls from orders where o_orderkey < 400 group by 1), b as (select c_mktsegment as term, string_agg(cast(c_custkey as varchar), ',' order by cast(c_custkey as varchar)) as urls from customer where c_custkey < 90 group by 1 union all select o_orderpriority, 'x' from orders group by 1) "
+    "with a as (select o_orderpriority as term, string_agg(cast(o_orderkey as varchar), ',' order by cast(o_orderkey as varchar)) as urls from orders group by 1), b as (select c_mktsegment as term, string_agg(cast(c_custkey as varchar), ',' order by cast(c_custkey as varchar)) as urls from customer group by 1 union all select distinct o_orderpriority, 'x' from orders) "
     "select term, case when a.urls is null then b.urls when b.urls is null then a.urls else a.urls || ',' || b.urls end as urls from a full join b using (term)"
 )
 def index_merge(spark, d):
     packed = lambda df, t, u: df.groupBy(F.col(t).alias("term")).agg(F.array_join(F.array_sort(F.collect_list(F.col(u).cast("string"))), ",").alias("urls"))
     orders = _t(spark, d, "orders")
-    dest = packed(orders.where("o_orderkey < 400"), "o_orderpriority", "o_orderkey")
-    source = packed(_t(spark, d, "customer").where("c_custkey < 90"), "c_mktsegment", "c_custkey").unionByName(orders.select(F.col("o_orderpriority").alias("term")).distinct().withColumn("urls", F.lit("x")))
-    return J.merge_index(dest, source)
+    source = packed(_t(spark, d, "customer"), "c_mktsegment", "c_custkey").unionByName(orders.select(F.col("o_orderpriority").alias("term")).distinct().withColumn("urls", F.lit("x")))
+    return J.merge_index(packed(orders, "o_orderpriority", "o_orderkey"), source)
 
 
 @query()
@@ -459,10 +458,10 @@ def frontier(spark, d):
     return J.admit(found, _t(spark, d, "documents").select("url"), _t(spark, d, "hosts"), codes=U.LANGUAGE_CODES, patterns=PATTERNS)
 
 
-@query("with new as (select c_custkey as key, c_name || '!' as value from customer where c_custkey % 3 = 0 union all select c_custkey + 1000000, 'new' from customer where c_custkey % 5 = 0) select key, value from new union all select c_custkey, c_name from customer where c_custkey not in (select key from new)")
+@query("with new as (select o_custkey as key, max(o_orderpriority) as value from orders group by o_custkey) select key, value from new union all select c_custkey, c_name from customer where c_custkey not in (select key from new)")
 def upsert_rows(spark, d):
     old = _t(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("value"))
-    new = old.where("key % 3 = 0").select("key", F.concat("value", F.lit("!")).alias("value")).unionByName(old.where("key % 5 = 0").select((F.col("key") + 1000000).alias("key"), F.lit("new").alias("value")))
+    new = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.max("o_orderpriority").alias("value"))
     return put_rows(old, new, "key")
 
 
@@ -472,10 +471,10 @@ def upsert_cells(spark, d):
     return put_cells(puts.limit(0).select("key", "column", "value"), puts)
 
 
-@query("select c_custkey as key, case when c_custkey % 2 = 0 and c_mktsegment = 'BUILDING' then 'DONE' else c_mktsegment end as value, case when c_custkey % 2 = 0 then c_mktsegment = 'BUILDING' end as applied from customer")
+@query("with ch as (select o_custkey as key from orders group by o_custkey) select c_custkey as key, case when ch.key is not null and c_mktsegment = 'BUILDING' then 'DONE' else c_mktsegment end as value, case when ch.key is not null then c_mktsegment = 'BUILDING' end as applied from customer left join ch on ch.key = c_custkey")
 def compare_and_set_cells(spark, d):
     old = _t(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("value"))
-    changes = old.where("key % 2 = 0").select("key", F.lit("BUILDING").alias("expected"), F.lit("DONE").alias("value"))
+    changes = _t(spark, d, "orders").select(F.col("o_custkey").alias("key")).distinct().select("key", F.lit("BUILDING").alias("expected"), F.lit("DONE").alias("value"))
     return compare_and_set(old, changes, "key", "value")
 
 

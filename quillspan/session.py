@@ -56,7 +56,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Remove what ``materialize`` wrote for ``df``; nothing may read it any more."""
+    path = getattr(df, "_scratch", None)
+    if path:
+        remove_path(df.sparkSession, path)
 
 
 def spread(table: DataFrame) -> DataFrame:
