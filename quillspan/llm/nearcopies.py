@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.session import materialize
+from quillspan.session import materialize, release
 
 #: Size bands of a sketch: [BAND * 4**i, BAND * 4**(i+1)); below BAND each run is a part of its own.
 BAND = 25
@@ -360,16 +360,18 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> Dat
     labels = materialize(nodes.select("node", F.col("node").alias("root")).distinct(), "labels")
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     for _ in range(most_rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("least"))
-        hooked = labels.join(near, "node", "left").select("node", F.least("root", "least").alias("new"), "root")
+        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("least"))
+        hooked = labels.select("node", "root").join(near, "node", "left").select("node", F.least("root", "least").alias("new"), "root")
         # The old root learns of the smaller label too, so whole trees move at once.
         moved = hooked.where("new < root").groupBy(F.col("root").alias("node")).agg(F.min("new").alias("to"))
         hooked = hooked.join(moved, "node", "left").select("node", F.least("new", "to").alias("new"), "root")
         jump = hooked.select(F.col("node").alias("new"), F.col("new").alias("up"))
-        now = materialize(hooked.join(jump, "new").select("node", F.least("new", "up").alias("root"), (F.least("new", "up") < F.col("root")).alias("changed")), "labels")
-        labels = now.select("node", "root")
+        before, now = labels, materialize(hooked.join(jump, "new").select("node", F.least("new", "up").alias("root"), (F.least("new", "up") < F.col("root")).alias("changed")), "labels")
+        release(before)
         if now.where("changed").isEmpty():
-            return labels
+            release(both)
+            return now.select("node", "root")
+        labels = now
     raise RuntimeError(f"components not found in {most_rounds} rounds")
 
 
