@@ -15,6 +15,7 @@ from quillspan.operators.dataset import Bag, Engine, Pairs
 from quillspan.operators.upsert import compare_and_set, put_cells, put_rows
 from quillspan.plans import jobs as J
 from quillspan.session import materialize, spread
+from quillspan.sources.files import once_per_prefix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -478,6 +479,24 @@ def compare_and_set_cells(spark, d):
     return compare_and_set(old, changes, "key", "value")
 
 
+@query("select n_name as key, n_name as original, lower(n_name) as lowered from nation")
+def row_projection(spark, d):
+    return _t(spark, d, "nation").select(F.col("n_name").alias("key"), F.col("n_name").alias("original"), F.lower("n_name").alias("lowered"))
+
+
+@query("select distinct url, left(url, 24) as start from (select url, row_number() over (partition by left(url, 24) order by url) as n from pt_crawl where url is not null) where n = 1")
+def once_per_prefix_urls(spark, d):
+    urls = once_per_prefix(_t(spark, d, "pt_crawl").select("url").where("url is not null"), "url", 24)
+    return urls.select("url", F.substring("url", 1, 24).alias("start"))
+
+
+@query("with i as (select distinct term, urls from pt_idf left join (select distinct term as term, 1 as urls from pt_tf) using (term) where term is not null) select term, case when urls is null then '' else 'known' end as urls from i")
+def seeded_index(spark, d):
+    known = _t(spark, d, "pt_tf").where("term is not null").select("term").distinct().withColumn("urls", F.lit("known"))
+    lex = _t(spark, d, "pt_idf").where("term is not null").select("term")
+    return J.seed_index(lex, known).join(lex.distinct(), "term", "left_semi")
+
+
 @query("select host, count(*) as urls, max(fetched_at) as last_fetch from pt_crawl group by host")
 def host_activity(spark, d):
     return _t(spark, d, "pt_crawl").groupBy("host").agg(F.count(F.lit(1)).alias("urls"), F.max("fetched_at").alias("last_fetch"))
