@@ -86,22 +86,23 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_column(_table(spark, d, "documents").select("doc_id", "text"), keep=["doc_id"])
 
 
-def _mix(spark: SparkSession, d: str, total: str | None = None) -> tuple[DataFrame, DataFrame]:
+def _mix(spark: SparkSession, d: str, total: str | None) -> tuple[DataFrame, DataFrame]:
     return mix(prepare(_table(spark, d, "documents").select("doc_id", "text", "source", "lang")), _table(spark, d, "mix_targets"), total=total)
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    """The largest mix in which every source that has documents meets its share."""
-    return _mix(spark, d)[0]
+    """A mix as large as all documents of the listed sources: small ones are repeated up to their cap."""
+    return _mix(spark, d, "all")[0]
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return _mix(spark, d)[1]
+    """Actual shares of that mix."""
+    return _mix(spark, d, "all")[1]
 
 
-def p9_full_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Shares of a mix as large as all documents of the listed sources, where caps hold small sources down."""
-    return _mix(spark, d, "all")[1]
+def p9_exact_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of the largest mix in which every source that has documents meets its share."""
+    return _mix(spark, d, None)[1]
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -115,7 +116,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return got.where("garbled").select("doc_id", "restored", "layers")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_text, p2_found, p5_found, p5_ranking, p6_found, p6_classes, p6_documents, p8_ids, p9_mix, p9_shares, p9_full_shares, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_text, p2_found, p5_found, p5_ranking, p6_found, p6_classes, p6_documents, p8_ids, p9_mix, p9_shares, p9_exact_shares, p10_found, p10_restored)}
 _RANKED = (
     "c as (select term, doc, max(value) as v from pt_tf where term is not null and doc is not null group by term, doc), r as (select page_key, arg_max_null(rank, computed_at) as rank from pt_pageranks group by page_key), "
     "x as (select term, doc, count(*) over (partition by term) as n, row_number() over (partition by term order by v desc nulls last, doc) as pv, row_number() over (partition by term order by rank desc nulls last, doc) as pr from c left join r on doc = r.page_key)"
