@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Words left out of a lexicon.
 STOP_WORDS = "a an and are as at be by for from has he in is it its of on that the to was were will with".split()
+#: Tags on one line, and the marks a query loses.
+_QUERY_MARKS = "[.,:;!?’\"()\\-]"
 _LINE_TAG = "<[^>\\n\\r\\u0085\\u2028\\u2029]*>"
 
 
@@ -47,7 +49,7 @@ def token_count(text: Column, found: Column) -> Column:
 
 def query_words(text: Column) -> Column:
     """Distinct raw words of a query, in order; ASCII apostrophes stay."""
-    plain = F.regexp_replace(F.lower(text), "[.,:;!?’\"()\\-]", " ")
+    plain = F.regexp_replace(F.lower(text), _QUERY_MARKS, " ")
     return F.filter(F.array_distinct(F.split(F.trim(F.regexp_replace(plain, "\\s+", " ")), " ")), lambda w: w != "")
 
 
