@@ -41,11 +41,12 @@ def p3_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     counts = materialize(_key_counts(spark, d), "key-counts")
-    postings = _table(spark, d, "pt_index").agg(F.countDistinct("posting_id").alias("postings"))
-    values = counts.groupBy().agg(F.sum(F.when(F.col("key_kind") == "host", F.col("n_values"))).alias("values"))
-    share = F.when(F.col("key_kind") == "term", F.col("n_rows") * 40 >= F.col("postings")).otherwise(F.col("n_values") * 40 >= F.col("values"))
-    # One row each: the totals.
-    return counts.join(F.broadcast(postings)).join(F.broadcast(values)).where(share).select("key_kind", "key_name")
+    # The two totals are single numbers.
+    postings = _table(spark, d, "pt_index").agg(F.countDistinct("posting_id")).first()[0]
+    values = counts.where("key_kind = 'host'").agg(F.coalesce(F.sum("n_values"), F.lit(0))).first()[0]
+    term = (F.col("key_kind") == "term") & (F.col("n_rows") * 40 >= postings)
+    host = (F.col("key_kind") == "host") & (F.col("n_values") * 40 >= values)
+    return counts.where(term | host).select("key_kind", "key_name")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
