@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Encodings by which UTF-8 bytes get shown, and (shown as, meant) pairs of one-byte encodings.
-SHOWN_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp1250", "koi8-r")
+SHOWN_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp1250", "koi8-r", "cp866")
 ONE_BYTE_PAIRS = (
     ("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1251", "cp1252"), ("cp1250", "cp1252"),
     ("cp1252", "cp1251"), ("koi8-r", "cp1251"), ("mac_cyrillic", "cp1251"), ("cp866", "cp1251"),
@@ -29,7 +29,7 @@ ONE_BYTE_PAIRS = (
 )
 MAX_LAYERS = 4
 
-_C1 = re.compile("[\x80-\x84\x86-\x9f]")
+_C1 = re.compile("[\x80-\x9f]")
 _LETTER_ENTITY = re.compile(r"&[A-Za-z]{1,2}(?:grave|acute|circ|tilde|uml|ring|cedil|slash|lig|th|horn|caron);|&(?:ETH|eth|THORN|thorn|szlig|euro|sbquo|bdquo|hellip|dagger|Dagger|permil|lsaquo|rsaquo|lsquo|rsquo|ldquo|rdquo|bull|ndash|mdash|tilde|trade|iexcl|cent|pound|curren|yen|brvbar|sect|uml|copy|ordf|laquo|not|shy|reg|macr|deg|plusmn|sup[123]|acute|micro|para|middot|cedil|ordm|raquo|frac1[24]|frac34|iquest|times|divide|nbsp|fnof|Yuml);")
 
 
@@ -59,14 +59,18 @@ def _starts() -> re.Pattern:
 
 _STARTS = _starts()
 #: Ranges in which a repaired character may lie: C1 (of a deeper layer), Latin, Greek, Cyrillic, Semitic, Indic, kana, Han, Hangul, punctuation, symbols.
-_PLAUSIBLE = re.compile("[\x80-ſƒˆˇ˘-˝\u0300-\u0304\u0306-\u0308\u030a-\u030c\u0327\u0328Ά-ώЀ-џҐґא-תء-يऀ-ॿก-๎‐-⁉€№™←-↓∞≠≤≥─-▀　-ヿ一-鿿가-힣ﬁﬂ️﻿！-～\U0001f1e6-\U0001faff]")
+_PLAUSIBLE = re.compile("[\x80-ſƒˆˇ˘-˝\u0300-\u0304\u0306-\u0308\u030a-\u030c\u0327\u0328Ά-ώЀ-џҐґא-תء-يऀ-ॿก-๎\u200b-\u200f‐-⁉€№™←-↓∞≠≤≥─-▀　-ヿ一-鿿가-힣ﬁﬂ️﻿！-～\U0001f1e6-\U0001faff]")
 _CYRILLIC = re.compile("[Ѐ-џ]")
+_CYRILLIC_WORD = re.compile("[Ѐ-џ]+")
+_SIGN = re.compile("[\u2010-\u2049€™]")
+_OTHER_SCRIPT = re.compile("[\u0370-\u1fff\u2e80-\ud7ff\uf900-\ufaff\uff00-\uffef]")
 _BOXES = re.compile("[─-▟]+")
 _KANA = re.compile("[぀-ヿ]")
 _CJK = re.compile("[、-ヿ一-鿿！-～]")
 _TORN = re.compile("[A-Za-z][、-ヿ一-鿿]|[、-ヿ一-鿿][A-Za-z]")
 _NON_ASCII_WORD = re.compile(r"\S*[^\x00-\x7f]\S*")
-_AT_LETTER = re.compile(r"[A-Za-z][^\x00-\x7f]|[^\x00-\x7f][A-Za-z]|[^\W\d_a-zA-Z]{2}")
+_JAPANESE_SIGN = re.compile("\x81[@-~\x80-ü]")
+_AT_LETTER = re.compile(r"[A-Za-z][^\x00-\x7f]|[^\x00-\x7f][A-Za-z]|[0-9][^\W\d_a-zA-Z]|[^\W\d_a-zA-Z]{2}")
 _WIDE = re.compile("[⺀-퟿豈-﫿＀-￯\U00010000-\U0010ffff]")
 
 
@@ -81,10 +85,12 @@ def _decoded(match: str, encoding: str) -> str | None:
 def _unpack_utf8(text: str, encoding: str) -> tuple[str, int]:
     """``text`` with plausible UTF-8 sequences decoded, and how many there were.
 
-    Only lone sequences that give a Cyrillic letter are no sign: quotes and dashes beside a letter look so.
+    Only lone sequences that give a letter of another script are no sign: quotes beside a letter look so.
     Nor are box drawings, or a capital before a quote, without a letter beside them.
     """
     found = [(m, d) for m in _SEQUENCES[encoding].finditer(text) if (d := _decoded(m.group(), encoding))]
+    if encoding == "cp866":  # three Cyrillic letters can be a sequence: only one that gives a sign counts
+        found = [(m, d) for m, d in found if not _CYRILLIC_WORD.fullmatch(m.group()) or _SIGN.fullmatch(d)]
     runs: list[list[tuple[re.Match, str]]] = []
     for m, d in found:
         if runs and not re.search(r"\s", text[runs[-1][-1][0].end() : m.start()]):
@@ -94,7 +100,7 @@ def _unpack_utf8(text: str, encoding: str) -> tuple[str, int]:
     out, at, n = [], 0, 0
     many = any(len(run) > 1 for run in runs)
     for run in runs:
-        if len(run) < 2 and _CYRILLIC.match(run[0][1]) and not many and not _C1.search(run[0][0].group()):
+        if len(run) < 2 and _OTHER_SCRIPT.match(run[0][1]) and not many and not _C1.search(run[0][0].group()):
             continue
         start, end = run[0][0].start(), run[-1][0].end()
         lone = not (text[start - 1 : start].isalpha() or text[end : end + 1].isalpha())
@@ -116,17 +122,24 @@ class ContextCost:
 
     def __post_init__(self) -> None:
         for c, n in self.seen.items():
-            self.most[c[1]] = max(n, self.most.get(c[1], 0))
+            if len(c) == 3:
+                self.most[c[1]] = max(n, self.most.get(c[1], 0))
 
     def rare_character(self, word: str) -> bool:
         """Whether a character of ``word`` is rare in every context."""
         return any(self.most.get(c, 0) < 0.004 * self.documents for c in word if c > "\x7f")
 
-    def of(self, word: str) -> float:
+    def of(self, word: str, lenient: bool = False) -> float:
+        """``lenient`` lets a sign stand beside any letter where it does beside many."""
         if self.documents <= 0:
             return 0.0
-        n = self.documents
-        return sum(math.log((n + 1) / (self.seen.get(c, 0) + 0.5)) for c in contexts(word))
+        total = 0.0
+        for exact, loose in _places(word):
+            seen = self.seen.get(exact, 0)
+            if lenient and loose:
+                seen = max(seen, self.seen.get(loose, 0))
+            total += math.log((self.documents + 1) / (seen + 0.5))
+        return total
 
 
 def _near(c: str) -> str:
@@ -137,10 +150,24 @@ def _near(c: str) -> str:
     return "L" if c.islower() else "U" if c.isalpha() else "."
 
 
-def contexts(word: str) -> list[str]:
-    """Each non-ASCII, non-CJK character of ``word`` between the kinds of its neighbours."""
+def _kind(c: str) -> str:
+    return "a" if c.isalpha() else _near(c)
+
+
+def _places(word: str) -> list[tuple[str, str]]:
+    """Each non-ASCII, non-CJK character of ``word`` between its neighbours; for signs, also between kinds of them."""
     w = f" {word} "
-    return [_near(w[i - 1]) + c + _near(w[i + 1]) for i, c in enumerate(w) if c > "\x7f" and not _WIDE.match(c)]
+    out = []
+    for i, c in enumerate(w):
+        if c > "\x7f" and not _WIDE.match(c):
+            loose = "" if c.isalpha() else f"={_kind(w[i - 1])}{c}{_kind(w[i + 1])}"
+            out.append((_near(w[i - 1]) + c + _near(w[i + 1]), loose))
+    return out
+
+
+def contexts(word: str) -> list[str]:
+    """What is counted of a word: the places of its characters."""
+    return [p for both in _places(word) for p in both if p]
 
 
 def _re_read(word: str, shown: str, meant: str) -> str | None:
@@ -160,22 +187,27 @@ def _re_read_words(text: str, cost: ContextCost) -> tuple[str, float]:
     rare = math.log(250)
     if not any(c >= rare for c in before.values()):
         return text, 0.0
-    best, best_drop = {}, 0.0
+    reads: list[dict[str, str]] = []
     for shown, meant in ONE_BYTE_PAIRS:
-        swap, drop = {}, 0.0
-        for w in words:
-            r = _re_read(w, shown, meant)
-            if r is None or r == w or _C1.search(r):
-                continue
-            gain = before[w] - cost.of(r)
-            if gain > 0:
-                swap[w], drop = r, drop + gain
-        if drop > best_drop:
-            best, best_drop = swap, drop
-    # As evidence, one word must turn from very rare to common, by a character that is rare itself or
-    # stands at a letter (an ellipsis on its own is merely in a rare place).
-    sure = any(before[w] - cost.of(r) >= 4.0 and before[w] >= rare and (_AT_LETTER.search(w) or cost.rare_character(w)) for w, r in best.items())
-    if not sure:
+        every = ((w, _re_read(w, shown, meant)) for w in words)
+        reads.append({w: r for w, r in every if r is not None and r != w and not _C1.search(r)})
+    # First by exact places; signs found beside rarer letters only if that settles nothing.
+    for lenient in (False, True):
+        best, best_drop = {}, 0.0
+        for read in reads:
+            swap, drop = {}, 0.0
+            for w, r in read.items():
+                gain = before[w] - cost.of(r, lenient)
+                if gain > 0:
+                    swap[w], drop = r, drop + gain
+            if drop > best_drop:
+                best, best_drop = swap, drop
+        # As evidence, one word must turn from very rare to common, by a character that is rare itself or
+        # stands at a letter or digit, or be a lone letter that was a sign (an ellipsis on its own is merely
+        # in a rare place).
+        if any(before[w] - cost.of(r, lenient) >= 4.0 and before[w] >= rare and (_AT_LETTER.search(w) or cost.rare_character(w) or w.isalpha() and len(w) == 1 and not r.isalpha()) for w, r in best.items()):
+            break
+    else:
         return text, 0.0
     return _NON_ASCII_WORD.sub(lambda m: best.get(m.group(), m.group()), text), best_drop
 
@@ -189,7 +221,7 @@ def _as_shift_jis(line: str) -> str | None:
         if not r or re.search("[｡-ﾟ\x80-\x9f]", r):
             continue
         wide, torn = len(_CJK.findall(r)), len(_TORN.findall(r))
-        if wide >= 4 and len(_KANA.findall(r)) >= 2 and torn <= wide / 10:
+        if wide >= 4 and len(_KANA.findall(r)) >= 2 and torn <= wide / 10 or len(_CYRILLIC.findall(r)) >= 6:
             return r
     return None
 
@@ -213,6 +245,9 @@ def _layer(text: str, cost: ContextCost) -> str | None:
     best, n = max((_unpack_utf8(plain, e) for e in SHOWN_AS), key=lambda x: x[1]) if _STARTS.search(plain) else (plain, 0)
     if n and certain_signs(best) < certain_signs(text) + n:
         return best
+    signs = _JAPANESE_SIGN.sub(lambda m: _re_read(m.group(), "cp1252", "cp932") or m.group(), text) if "\x81" in text else text
+    if signs != text:
+        return signs
     if _C1.search(text):  # Windows text read as ISO 8859-1
         read = _C1.sub(lambda m: m.group().encode("latin-1").decode("cp1252", "ignore") or m.group(), text)
         if read != text:
@@ -236,9 +271,13 @@ def repair(text: str | None, cost: ContextCost) -> Repair:
     """
     if not text or (text.isascii() and "&" not in text):
         return Repair(False, None, 0)
-    now, layers = text, 0
-    while layers < MAX_LAYERS and (new := _layer(now, cost)) is not None and new != now:
-        now, layers = new, layers + 1
+    path = [text]
+    while len(path) <= MAX_LAYERS and (new := _layer(path[-1], cost)) is not None:
+        if new in path:  # repairs that lead back repair nothing
+            path = path[: path.index(new) + 1]
+            break
+        path.append(new)
+    now, layers = path[-1], len(path) - 1
     garbled = layers > 0 or "�" in text or bool(_C1.search(text))
     return Repair(garbled, now if layers and not certain_signs(now) else None, layers)
 
