@@ -69,6 +69,7 @@ _KANA = re.compile("[぀-ヿ]")
 _CJK = re.compile("[、-ヿ一-鿿！-～]")
 _TORN = re.compile("[A-Za-z][、-ヿ一-鿿]|[、-ヿ一-鿿][A-Za-z]")
 _NON_ASCII_WORD = re.compile(r"\S*[^\x00-\x7f]\S*")
+_MIXED = re.compile("[A-Za-z][Ѐ-џ]|[Ѐ-џ][A-Za-z]")
 _JAPANESE_SIGN = re.compile("\x81[@-~\x80-ü]")
 _AT_LETTER = re.compile(r"[A-Za-z][^\x00-\x7f]|[^\x00-\x7f][A-Za-z]|[0-9][^\W\d_a-zA-Z]|[^\W\d_a-zA-Z]{2}")
 _WIDE = re.compile("[⺀-퟿豈-﫿＀-￯\U00010000-\U0010ffff]")
@@ -185,7 +186,7 @@ def _re_read_words(text: str, cost: ContextCost) -> tuple[str, float]:
         return text, 0.0
     before = {w: cost.of(w) for w in words}
     rare = math.log(250)
-    if not any(c >= rare for c in before.values()):
+    if not any(c >= rare or _MIXED.search(w) for w, c in before.items()):
         return text, 0.0
     reads: list[dict[str, str]] = []
     for shown, meant in ONE_BYTE_PAIRS:
@@ -204,8 +205,8 @@ def _re_read_words(text: str, cost: ContextCost) -> tuple[str, float]:
                 best, best_drop = swap, drop
         # As evidence, one word must turn from very rare to common, by a character that is rare itself or
         # stands at a letter or digit, or be a lone letter that was a sign (an ellipsis on its own is merely
-        # in a rare place).
-        if any(before[w] - cost.of(r, lenient) >= 4.0 and before[w] >= rare and (_AT_LETTER.search(w) or cost.rare_character(w) or w.isalpha() and len(w) == 1 and not r.isalpha()) for w, r in best.items()):
+        # in a rare place); or mix Latin and Cyrillic letters, and no more.
+        if any(_MIXED.search(w) and not _MIXED.search(r) or before[w] - cost.of(r, lenient) >= 4.0 and before[w] >= rare and (_AT_LETTER.search(w) or cost.rare_character(w) or w.isalpha() and len(w) == 1 and not r.isalpha()) for w, r in best.items()):
             break
     else:
         return text, 0.0
