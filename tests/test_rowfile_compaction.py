@@ -73,3 +73,14 @@ def test_compact(spark):
         compact(df, done.path)
     empty = compact(df.limit(0))
     assert empty.records == 0 and empty.read(spark).count() == 0
+
+
+def test_scratch_tables(spark):
+    from quillspan.session import clear_scratch, materialize, release, scratch_root
+
+    df = materialize(spark.range(5).toDF("n"), "t")
+    assert df.count() == 5 and df._scratch.startswith(scratch_root(spark))
+    release(df)
+    release(spark.range(1))  # nothing to remove
+    clear_scratch(spark)
+    assert materialize(spark.range(0).toDF("n"), "t").count() == 0
