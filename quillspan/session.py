@@ -45,12 +45,12 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{scratch_root(spark)}/quillspan/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/quillspan/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Remove all scratch tables. Results of queries read them, so only when none is needed any more."""
-    remove_path(spark, f"{scratch_root(spark)}/quillspan")
+    """Remove this application's scratch tables. Results of queries read them, so only when none is needed any more."""
+    remove_path(spark, f"{scratch_root(spark)}/quillspan/{spark.sparkContext.applicationId}")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
