@@ -8,13 +8,16 @@ part are candidates. A second sketch of single bits bounds the difference again
 wrong ones, and the remaining pairs are verified on the full sets.
 
 Runs that a hundredth of all texts show (menus, notices) are left out of the parts, as parts made of
-them alone would gather a whole site; they count in the verification.
+them alone would gather a whole site; they count in the verification. Where they are many, parts of all
+runs are added, and pairs across a border of bands meet in a sketch for that size.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,10 @@ BAND = 25
 #: Parts of a band, from its lower bound up; larger bands use PARTS_SHARE of it, of which the first KEPT_PARTS are emitted.
 PARTS = {25: 48, 100: 96, 400: 288}
 PARTS_SHARE, KEPT_PARTS = 0.72, 320
+#: Parts of the sketch for pairs across an upper border of 400 or more (texts of about that size), as a share of it, and how many are emitted.
+BORDER_SHARE, BORDER_PARTS = 0.48, 64
+#: Pairs at the threshold that a sketch may miss, by a Poisson estimate; texts for which it may be more emit further parts.
+MISSED = 5e-4
 #: Bits of the second sketch.
 BITS = 1024
 #: A part's members are paired in one go up to this many, beyond it block by block.
@@ -82,22 +89,28 @@ class Runs:
 
 
 def bands_of(size: int, share: float) -> list[int]:
-    """Lower bounds of the bands whose sketch a text needs: its own, and the one below if a partner may lie there."""
+    """The sketches a text needs: that of its band (by lower bound), and those in which it meets partners of
+    another band: up to 100 the sketch of the band below, beyond it one for the border (negative)."""
     if size < BAND:
         return [0]
     low = BAND
     while low * 4 <= size:
         low *= 4
-    below = low // 4 if low > BAND else 0
-    return [low, below] if share * size < low else [low]
+    out = [low]
+    if share * size < low:
+        out.append(0 if low == BAND else BAND if low == 4 * BAND else -low)
+    if low > BAND and size >= share * low * 4 - 1e-9:
+        out.append(-low * 4)
+    return out
 
 
-def part_keys(runs: np.ndarray, band: int) -> np.ndarray:
-    """Keys of the parts of ``runs`` in a band's sketch: part number and exclusive or, mixed."""
+def part_keys(runs: np.ndarray, band: int, rare: np.ndarray | None = None, most: int = KEPT_PARTS) -> np.ndarray:
+    """Keys of the parts of ``runs`` in a sketch (of the first ``most``): part number and exclusive or, mixed. Given ``rare`` (whether
+    each run is), only parts that hold a rare run."""
     if not band:
-        return runs * _MIX2 ^ _MIX3
-    n = PARTS.get(band, int(PARTS_SHARE * band))
-    least = 1 if band == BAND else 2
+        return (runs if rare is None else runs[rare]) * _MIX2 ^ _MIX3
+    n, kept, least = _shape(band)
+    kept = min(kept, most)
     part = (runs >> np.uint64(20)) % np.uint64(n)
     order = np.argsort(part, kind="stable")
     part, runs = part[order], runs[order]
@@ -106,12 +119,69 @@ def part_keys(runs: np.ndarray, band: int) -> np.ndarray:
     starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
     held = np.diff(np.concatenate((starts, [len(part)])))
     which = part[starts]
-    good = (held >= least) & (which < KEPT_PARTS)
+    good = (held >= least) & (which < kept)
+    if rare is not None:
+        good &= np.bitwise_or.reduceat(rare[order], starts)
     parity = np.bitwise_xor.reduceat(runs, starts)[good]
-    key = (parity ^ (which[good] * _MIX + np.uint64(band))) * _MIX3
+    key = (parity ^ (which[good] * _MIX + np.uint64(band % (1 << 64)))) * _MIX3
     return key ^ (key >> np.uint64(31))
 
 
+def _shape(band: int) -> tuple[int, int, int]:
+    """(parts, emitted ones, runs a part needs) of a sketch."""
+    if band < 0:
+        return int(-band * BORDER_SHARE), BORDER_PARTS, 2
+    return PARTS.get(band, int(PARTS_SHARE * band)), KEPT_PARTS, 1 if band == BAND else 2
+
+
+def _agrees(size: int, common: int, band: int, similarity: float, kind: str) -> float:
+    """The least chance that a part is emitted and the same, over all sizes a partner at the threshold may have."""
+    n, _, least = _shape(band)
+    low, high = (0, math.inf) if band < 0 else (band, 4 * band - 1 if band > BAND else 4 * BAND / similarity)
+    out = 1.0
+    for step in range(9):
+        other = min(high, max(low, size * similarity ** (1 - step / 4)))
+        shared = similarity * (size + other) / (1 + similarity)
+        apart = (size + other - 2 * shared) / n
+        both = min(common, shared)
+        rare, more = (shared - both) / n, both / n
+        if kind == "whole":
+            rare, more = rare + more, 0.0
+        good = 1 - math.exp(-rare) * (1 if least == 1 else 1 + rare * (math.exp(-more) if kind == "mixed" else 1))
+        out = min(out, math.exp(-apart) * good)
+    return out
+
+
+@lru_cache(maxsize=100_000)
+def further_parts(size: int, common: int, band: int, similarity: float) -> tuple[str, int]:
+    """("", 0) where the parts of the rare runs miss few enough pairs; else which parts of all runs are
+    emitted ("mixed": that hold a rare run; "whole": all), and the first how many."""
+    n, kept, _ = _shape(band)
+    kept = min(n, kept)
+    missed = lambda kind: kept * math.log1p(-_agrees(size, common, band, similarity, kind))
+    if not common or 2 * common < size and missed("rare") <= math.log(MISSED):
+        return "", 0
+    kind = "mixed" if 2 * common < size and missed("mixed") <= math.log(MISSED) else "whole"
+    return kind, min(kept, math.ceil(kept * math.log(MISSED) / missed(kind)))
+
+
+def text_keys(runs: np.ndarray, rare: np.ndarray, similarity: float) -> list[np.ndarray]:
+    """Keys of a text's parts, by sketch. Parts of the rare runs; where many common runs leave too few
+    rare ones a part, also parts of all runs (a text that is mostly common can be like another by these alone)."""
+    size, n = len(runs), int(np.count_nonzero(rare))
+    out = []
+    for band in bands_of(size, similarity):
+        out.append(part_keys(runs[rare], band))
+        if not band:
+            if 2 * n < size:
+                out.append(part_keys(runs, band) ^ np.uint64(1))
+            continue
+        kind, most = further_parts(size, size - n, band, similarity)
+        if kind:
+            out.append(part_keys(runs, band, rare if kind == "mixed" else None, most) ^ np.uint64(1))
+    return out
+
+
 def bit_sketch(runs: np.ndarray) -> np.ndarray:
     """Parity of the runs that fall on each bit, as BITS / 64 words."""
     odd = np.bincount((runs >> np.uint64(7) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
@@ -178,14 +248,12 @@ def sketches(df: DataFrame, key: str, text: str, k: int, tags: bool, similarity:
                     if len(met) > 1_000_000:
                         met.clear()
                     met.add(m)
-                    rare = r
+                    rare = np.ones(len(r), bool)
                     if len(common):
                         at = np.searchsorted(common, r)
                         at[at == len(common)] = 0
-                        rare = r[common[at] != r]
-                    # A text that is mostly common runs can be like another by these alone.
-                    sets = [rare] if 2 * len(rare) >= len(r) else [rare, r]
-                    keys += [part_keys(s, band) ^ np.uint64(j) for j, s in enumerate(sets) for band in bands_of(len(r), similarity)]
+                        rare = common[at] != r
+                    keys += text_keys(r, rare, similarity)
                 ends.append(len(keys))
             lengths = np.concatenate(([0], np.cumsum([len(x) for x in keys]))) if keys else np.zeros(1, np.int64)
             offsets = pa.array(lengths[ends].astype(np.int32))

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from quillspan.llm.nearcopies import BITS, Runs, bands_of, bit_sketch, components, pairs_of_keys, part_keys, similar_classes, similar_pairs
+from quillspan.llm.nearcopies import BITS, Runs, bands_of, bit_sketch, components, pairs_of_keys, part_keys, similar_classes, similar_pairs, text_keys
 
 
 def texts():
@@ -74,6 +74,23 @@ def test_sketches_bound_the_difference():
             assert len(np.intersect1d(part_keys(a, band), part_keys(b, band))) > 0
 
 
+@pytest.mark.parametrize("a,b,common", [(25, 25, 0.34), (40, 40, 0.49), (99, 165, 0.3), (100, 100, 0.16), (100, 100, 0.3), (200, 200, 0.49), (390, 390, 0.49), (399, 660, 0), (399, 660, 0.3), (399, 660, 0.49), (1599, 2600, 0.49), (6399, 10600, 0.3)])
+def test_few_pairs_at_the_threshold_are_missed(a, b, common):
+    r = np.random.default_rng(5)
+    shared = int(np.ceil(0.6 * (a + b) / 1.6))
+    missed, rounds = 0, 1200 if a < 1000 else 150
+    for _ in range(rounds):
+        runs = r.integers(0, 1 << 63, a + b - shared).astype(np.uint64)
+        rare = np.ones(len(runs), bool)
+        rare[: int(common * a)] = False  # of the shared ones
+        keys = []
+        for at in (np.arange(a), np.concatenate((np.arange(shared), np.arange(a, len(runs))))):
+            at = at[np.argsort(runs[at])]
+            keys.append(np.concatenate(text_keys(runs[at], rare[at], 0.6)))
+        missed += not len(np.intersect1d(*keys))
+    assert missed <= rounds / 400
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (200, 203)]
     nodes = spark.createDataFrame([(i,) for i in [*range(41), 100, 101, 102, 200, 203, 300]], "node long")
