@@ -4,7 +4,8 @@ Round-trip repair: characters go back to bytes under the encoding that was used
 strictly decoded under the one that was meant; this is repeated for nested layers and accepted only
 when a garbling cost drops. The cost counts certain signs (replacement and C1 control characters,
 byte sequences of UTF-8 shown as characters) and, for pairs of one-byte encodings, how rarely a
-character stands between its neighbours in all documents.
+character stands between its neighbours in all different texts that are not suspect themselves: those
+with a word of a form that no language has and that a pair turns into a usual one have no vote.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.session import materialize, release
+
 #: Encodings by which UTF-8 bytes get shown, and (shown as, meant) pairs of one-byte encodings.
 SHOWN_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp1250", "koi8-r", "cp866")
 ONE_BYTE_PAIRS = (
@@ -72,6 +75,11 @@ _NON_ASCII_WORD = re.compile(r"\S*[^\x00-\x7f]\S*")
 _MIXED = re.compile("[A-Za-z][Ѐ-џ]|[Ѐ-џ][A-Za-z]")
 _JAPANESE_SIGN = re.compile("\x81[@-~\x80-ü]")
 _AT_LETTER = re.compile(r"[A-Za-z][^\x00-\x7f]|[^\x00-\x7f][A-Za-z]|[0-9][^\W\d_a-zA-Z]|[^\W\d_a-zA-Z]{2}")
+#: Forms of words that no language has: a capital or sign in small letters, scripts or cases mixed, accents only.
+_ILL = re.compile(
+    "[a-zß-öø-ÿ][À-ÖØ-ÞŒŠŽŸ](?![A-ZÀ-ÖØ-ÞŒŠŽŸ])|[^\\W\\d_][¡-©«-¬®-´¶-¹»-¿×÷ˆ-˝†-‡•…‰€™∂-≥◊─-▟ﬁﬂ‚„ƒªº⁄№][^\\W\\d_]|[A-Za-z][\u0370-\u03ffЀ-џ]|[\u0370-\u03ffЀ-џ][A-Za-z]"
+    "|\\b[а-яё][А-ЯЁ]{2}|[À-ÖØ-öø-ÿ]{4}|[Ѐ-џ][─-▟]|[─-▟][Ѐ-џ]"
+)
 _WIDE = re.compile("[⺀-퟿豈-﫿＀-￯\U00010000-\U0010ffff]")
 
 
@@ -213,6 +221,19 @@ def _re_read_words(text: str, cost: ContextCost) -> tuple[str, float]:
     return _NON_ASCII_WORD.sub(lambda m: best.get(m.group(), m.group()), text), best_drop
 
 
+def suspect(text: str) -> bool:
+    """Whether a word has a form that no language has and that some pair of one-byte encodings mends."""
+    if not _ILL.search(text):
+        return False
+    for w in set(_NON_ASCII_WORD.findall(text)):
+        if _ILL.search(w):
+            for shown, meant in ONE_BYTE_PAIRS:
+                r = _re_read(w, shown, meant)
+                if r is not None and r != w and not _ILL.search(r) and not _C1.search(r):
+                    return True
+    return False
+
+
 def _as_shift_jis(line: str) -> str | None:
     """A line of Japanese shown as Western text; blanks and ASCII stay."""
     if len(re.findall(r"[^\x00-\x7f]", line)) < 4:
@@ -284,35 +305,42 @@ def repair(text: str | None, cost: ContextCost) -> Repair:
 
 
 def context_counts(df: DataFrame, text: str) -> DataFrame:
-    """(context, docs): in how many texts each context occurs, over all texts; partial sums per task."""
+    """(context, docs): in how many different texts each context occurs, suspect ones left out; the row of the
+    empty context has the number of texts that vote. Partial sums per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part: Counter[str] = Counter()
         for b in batches:
             for t in b.column(0):
                 t = t.as_py()
-                if t and not t.isascii():
+                if t.isascii():
+                    part[""] += 1
+                elif not suspect(t):
+                    part[""] += 1
                     part.update({c for w in set(_NON_ASCII_WORD.findall(t)) for c in contexts(w)})
             if len(part) > 500_000:
                 yield pa.RecordBatch.from_arrays([pa.array(part.keys(), pa.string()), pa.array(part.values(), pa.int64())], names=["context", "docs"])
                 part.clear()
         yield pa.RecordBatch.from_arrays([pa.array(part.keys(), pa.string()), pa.array(part.values(), pa.int64())], names=["context", "docs"])
 
-    return df.select(text).mapInArrow(run, "context string, docs long").groupBy("context").agg(F.sum("docs").alias("docs"))
+    texts = df.select(F.col(f"`{text}`").alias("t")).where("t is not null").distinct()
+    return texts.mapInArrow(run, "context string, docs long").groupBy("context").agg(F.sum("docs").alias("docs"))
 
 
 def repair_texts(df: DataFrame, text: str = "text", keep: list[str] | None = None, least_share: float = 1e-4) -> DataFrame:
     """Kept columns, ``garbled`` BOOLEAN, ``restored`` STRING (null where nothing is to be or can be restored), ``layers`` INT.
 
     Every row gives one row, whatever its text (null, empty, very long, repeated). Kept columns with
-    those three names are replaced. Contexts are counted over all rows; those in fewer than
-    ``least_share`` of them count as unseen, which bounds what is sent to the tasks.
+    those three names are replaced. Contexts are counted over all different texts that are not suspect; those in
+    fewer than ``least_share`` of them count as unseen, which bounds what is sent to the tasks.
     """
     spark = df.sparkSession
     kept = [c for c in (keep if keep is not None else df.columns) if c not in ("garbled", "restored", "layers")]
-    n = df.where(F.col(f"`{text}`").isNotNull()).count()
-    common = context_counts(df, text).where(F.col("docs") >= max(2, least_share * n))
+    counts = materialize(context_counts(df, text), "contexts")
+    n = next((r["docs"] for r in counts.where("context = ''").collect()), 0)
+    common = counts.where((F.col("context") != "") & (F.col("docs") >= max(2, least_share * n)))
     cost = spark.sparkContext.broadcast(ContextCost(n, {r["context"]: r["docs"] for r in common.toLocalIterator()}))
+    release(counts)
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept), "garbled boolean, restored string, layers int"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -70,3 +70,18 @@ def test_table(spark):
     got = sorted((r["doc_id"], r["garbled"]) for r in repair_texts(df).collect())
     assert got == [(1, True), (2, False), (3, False), (4, False), (4, False), (5, True)]
     assert repair_texts(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("shown,meant", [("mac_roman", "cp1252"), ("cp437", "cp1252"), ("koi8-r", "cp1251")])
+def test_a_third_garbled_by_one_pair_is_found(spark, shown, meant):
+    words = "café près déjà fermé château élève müssen größer schön mañana señal année même forêt" if meant == "cp1252" else "Вода стоит ещё долго Мельница старая Река течёт Берег Дорога Зима Осень прошла Школа"
+    words = words.split()
+    texts = [" ".join(words[(i + k * (1 + i % 5)) % len(words)] for k in range(6)) + f" {i}" for i in range(600)]
+    bad = {i for i in range(600) if i % 3 == 0}
+    rows = [(i, t.encode(meant).decode(shown) if i in bad else t) for i, t in enumerate(texts)]
+    rows += [(1000 + i, rows[0][1]) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"] for r in repair_texts(df).where("garbled").collect()}
+    assert not {i for i in got if i < 1000} - bad
+    assert len(bad - got) <= len(bad) / 50
+    assert set(range(1000, 1300)) <= got
