@@ -20,6 +20,8 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i im
 _HIDDEN = frozenset("script style head title template noscript select option textarea iframe object svg".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CELLS = frozenset("li td th dt dd figcaption caption".split())
+#: Of these, the element around them tells where a block stands.
+_IN_CONTAINER = _CELLS | _HEADINGS | {"p"}
 _VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 #: An element that opens ends open elements of these names, up to the nearest scope.
 _IMPLIED = {
@@ -45,7 +47,12 @@ def _tag(cut: str) -> tuple[bool, str, str]:
     return _short_tag(cut) if len(cut) < 24 else _short_tag.__wrapped__(cut)
 
 
-@dataclass
+@lru_cache(maxsize=4096)
+def _not_shown(attributes: str) -> bool:
+    return _NOT_SHOWN.search(attributes) is not None
+
+
+@dataclass(slots=True)
 class Block:
     """Inline content between block boundaries."""
 
@@ -107,18 +114,19 @@ def blocks_of(page: str) -> Layout:
                 title += shown
             return
         if block is None:
-            own = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in _INLINE), 0)
-            tag, parent = stack[own][0], stack[max(0, own - 1)][1] if stack[own][0] in _CELLS | _HEADINGS | {"p"} else stack[own][1]
+            own = len(stack) - 1 if stack[-1][0] not in _INLINE else next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in _INLINE), 0)
+            tag, parent = stack[own][0], stack[max(0, own - 1)][1] if stack[own][0] in _IN_CONTAINER else stack[own][1]
             kind = next((t for t, _ in reversed(stack) if t in ("ul", "ol")), "") if tag == "li" else ""
             block = Block(tag, parent, list_kind=kind, row=rows if tag in ("td", "th") else -1)
             blocks.append(block)
-        block.pieces.append(number)
-        block.texts.append(html.unescape(shown) if "&" in shown else shown)
-        block.linked.append(links > 0)
+        now = block
+        now.pieces.append(number)
+        now.texts.append(html.unescape(shown) if "&" in shown else shown)
+        now.linked.append(links > 0)
         n = len(shown.split()) if shown[0] not in _MARKS else len(_WORD.findall(shown))
-        block.words += n
+        now.words += n
         if links:
-            block.link_words += n
+            now.link_words += n
 
     def pop_to(depth: int) -> None:
         nonlocal hidden, links
@@ -141,7 +149,8 @@ def blocks_of(page: str) -> Layout:
             continue
         plain = False
         if closes:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0].rstrip("!") == name), 0)
+            top = len(stack) - 1
+            depth = top if top and stack[top][0] == name else next((i for i in range(top, 0, -1) if stack[i][0].rstrip("!") == name), 0)
             if depth:
                 pop_to(depth)
             if name not in _INLINE:
@@ -173,7 +182,7 @@ def blocks_of(page: str) -> Layout:
         if name == "a" and links:
             depth = next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0].rstrip("!") == "a")
             pop_to(depth)
-        unseen = name not in _HIDDEN and bool(attributes) and name != "a" and _NOT_SHOWN.search(attributes) is not None
+        unseen = name not in _HIDDEN and bool(attributes) and name != "a" and _not_shown(attributes)
         containers += 1
         stack.append((name + "!" * unseen, containers))
         hidden += name in _HIDDEN or unseen
