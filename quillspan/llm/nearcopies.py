@@ -8,8 +8,11 @@ part are candidates. A second sketch of single bits bounds the difference again
 wrong ones, and the remaining pairs are verified on the full sets.
 
 Runs that a hundredth of all texts show (menus, notices) are left out of the parts, as parts made of
-them alone would gather a whole site; they count in the verification. Where they are many, parts of all
-runs are added, and pairs across a border of bands meet in a sketch for that size.
+them alone would gather a whole site; they count in the verification. A text emits as many parts as its
+size, its common runs and the similarity ask for, so that a pair at the threshold is missed once in
+1 / MISSED; beyond one sketch's parts those of further sketches, with runs dealt differently, follow. The
+text of a pair that emits fewer decides, as its own bound holds for the pair. Pairs across a border of
+bands meet in a sketch for that size.
 """
 
 from __future__ import annotations
@@ -29,13 +32,17 @@ from quillspan.session import materialize, release
 
 #: Size bands of a sketch: [BAND * 4**i, BAND * 4**(i+1)); below BAND each run is a part of its own.
 BAND = 25
-#: Parts of a band, from its lower bound up; larger bands use PARTS_SHARE of it, of which the first KEPT_PARTS are emitted.
+#: Parts of a sketch, by the lower bound of its band; larger bands have PARTS_SHARE of it.
 PARTS = {25: 48, 100: 96, 400: 288}
-PARTS_SHARE, KEPT_PARTS = 0.72, 320
-#: Parts of the sketch for pairs across an upper border of 400 or more (texts of about that size), as a share of it, and how many are emitted.
-BORDER_SHARE, BORDER_PARTS = 0.48, 64
-#: Pairs at the threshold that a sketch may miss, by a Poisson estimate; texts for which it may be more emit further parts.
+PARTS_SHARE = 0.72
+#: Parts of the sketch for pairs across an upper border of 400 or more (texts of about that size), as a share of it.
+BORDER_SHARE = 0.42
+#: Pairs at the threshold that may be missed, by a Poisson estimate over all sizes and shares of common runs.
 MISSED = 5e-4
+#: Sketches of rare runs at most; texts that need more emit parts of all runs too.
+SKETCHES = 4
+#: Sketches of all runs at most: a similarity that needs more is refused.
+MOST_SKETCHES = 40
 #: Bits of the second sketch.
 BITS = 1024
 #: A part's members are paired in one go up to this many, beyond it block by block.
@@ -104,14 +111,13 @@ def bands_of(size: int, share: float) -> list[int]:
     return out
 
 
-def part_keys(runs: np.ndarray, band: int, rare: np.ndarray | None = None, most: int = KEPT_PARTS) -> np.ndarray:
-    """Keys of the parts of ``runs`` in a sketch (of the first ``most``): part number and exclusive or, mixed. Given ``rare`` (whether
-    each run is), only parts that hold a rare run."""
+def part_keys(runs: np.ndarray, band: int, sketch: int = 0, most: int | None = None) -> np.ndarray:
+    """Keys of the parts of ``runs`` in a sketch of a band (of its first ``most``): part number and exclusive or, mixed."""
     if not band:
-        return (runs if rare is None else runs[rare]) * _MIX2 ^ _MIX3
-    n, kept, least = _shape(band)
-    kept = min(kept, most)
-    part = (runs >> np.uint64(20)) % np.uint64(n)
+        return runs * _MIX2 ^ _MIX3
+    n, least = _shape(band)
+    dealt = runs if not sketch else (runs ^ (runs >> np.uint64(31))) * (_MIX2 + np.uint64(2 * sketch))
+    part = (dealt >> np.uint64(20)) % np.uint64(n)
     order = np.argsort(part, kind="stable")
     part, runs = part[order], runs[order]
     if not len(part):
@@ -119,66 +125,62 @@ def part_keys(runs: np.ndarray, band: int, rare: np.ndarray | None = None, most:
     starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
     held = np.diff(np.concatenate((starts, [len(part)])))
     which = part[starts]
-    good = (held >= least) & (which < kept)
-    if rare is not None:
-        good &= np.bitwise_or.reduceat(rare[order], starts)
+    good = held >= least
+    if most is not None:
+        good &= which < most
     parity = np.bitwise_xor.reduceat(runs, starts)[good]
-    key = (parity ^ (which[good] * _MIX + np.uint64(band % (1 << 64)))) * _MIX3
+    key = (parity ^ (which[good] * _MIX + np.uint64((band + (sketch << 40)) % (1 << 64)))) * _MIX3
     return key ^ (key >> np.uint64(31))
 
 
-def _shape(band: int) -> tuple[int, int, int]:
-    """(parts, emitted ones, runs a part needs) of a sketch."""
+def _shape(band: int) -> tuple[int, int]:
+    """(parts, runs a part needs) of a sketch."""
     if band < 0:
-        return int(-band * BORDER_SHARE), BORDER_PARTS, 2
-    return PARTS.get(band, int(PARTS_SHARE * band)), KEPT_PARTS, 1 if band == BAND else 2
+        return int(-band * BORDER_SHARE), 2
+    return PARTS.get(band, int(PARTS_SHARE * band)), 1 if band == BAND else 2
 
 
-def _agrees(size: int, common: int, band: int, similarity: float, kind: str) -> float:
-    """The least chance that a part is emitted and the same, over all sizes a partner at the threshold may have."""
-    n, _, least = _shape(band)
+@lru_cache(maxsize=200_000)
+def parts_needed(size: int, common: int, band: int, similarity: float) -> int:
+    """Parts to be emitted so that a pair at the threshold agrees in one but for MISSED, over all sizes a partner may
+    have, if all common runs are shared and all that differs is rare; none (0) if no number does."""
+    n, least = _shape(band)
     low, high = (0, math.inf) if band < 0 else (band, 4 * band - 1 if band > BAND else 4 * BAND / similarity)
-    out = 1.0
+    agrees = 1.0
     for step in range(9):
         other = min(high, max(low, size * similarity ** (1 - step / 4)))
         shared = similarity * (size + other) / (1 + similarity)
-        apart = (size + other - 2 * shared) / n
-        both = min(common, shared)
-        rare, more = (shared - both) / n, both / n
-        if kind == "whole":
-            rare, more = rare + more, 0.0
-        good = 1 - math.exp(-rare) * (1 if least == 1 else 1 + rare * (math.exp(-more) if kind == "mixed" else 1))
-        out = min(out, math.exp(-apart) * good)
-    return out
+        if shared > min(size, other) + 1e-9:
+            continue
+        rare = (shared - min(common, shared)) / n
+        agrees = min(agrees, math.exp(-(size + other - 2 * shared) / n) * -math.expm1(-rare) if least == 1 else math.exp(-(size + other - 2 * shared) / n) * (1 - math.exp(-rare) * (1 + rare)))
+    return math.ceil(math.log(MISSED) / math.log1p(-agrees)) if agrees > 1e-12 else 0
 
 
-@lru_cache(maxsize=100_000)
-def further_parts(size: int, common: int, band: int, similarity: float) -> tuple[str, int]:
-    """("", 0) where the parts of the rare runs miss few enough pairs; else which parts of all runs are
-    emitted ("mixed": that hold a rare run; "whole": all), and the first how many."""
-    n, kept, _ = _shape(band)
-    kept = min(n, kept)
-    missed = lambda kind: kept * math.log1p(-_agrees(size, common, band, similarity, kind))
-    if not common or 2 * common < size and missed("rare") <= math.log(MISSED):
-        return "", 0
-    kind = "mixed" if 2 * common < size and missed("mixed") <= math.log(MISSED) else "whole"
-    return kind, min(kept, math.ceil(kept * math.log(MISSED) / missed(kind)))
+def _sketches(runs: np.ndarray, band: int, parts: int) -> list[np.ndarray]:
+    """Keys of the first so many parts, from as many sketches as they fill."""
+    n, _ = _shape(band)
+    return [part_keys(runs, band, k, parts - k * n) for k in range(-(-parts // n))]
 
 
 def text_keys(runs: np.ndarray, rare: np.ndarray, similarity: float) -> list[np.ndarray]:
-    """Keys of a text's parts, by sketch. Parts of the rare runs; where many common runs leave too few
-    rare ones a part, also parts of all runs (a text that is mostly common can be like another by these alone)."""
+    """Keys of a text's parts, by band: those of its rare runs, and where these cannot do (a text that is mostly common
+    can be like another by that alone) those of all runs."""
     size, n = len(runs), int(np.count_nonzero(rare))
     out = []
     for band in bands_of(size, similarity):
-        out.append(part_keys(runs[rare], band))
         if not band:
+            out.append(part_keys(runs[rare], band))
             if 2 * n < size:
                 out.append(part_keys(runs, band) ^ np.uint64(1))
             continue
-        kind, most = further_parts(size, size - n, band, similarity)
-        if kind:
-            out.append(part_keys(runs, band, rare if kind == "mixed" else None, most) ^ np.uint64(1))
+        parts, most = parts_needed(size, size - n, band, similarity), SKETCHES * _shape(band)[0]
+        out += _sketches(runs[rare], band, min(parts or most, most))
+        if not 0 < parts <= most:
+            every = parts_needed(size, 0, band, similarity)
+            if not 0 < every <= MOST_SKETCHES * _shape(band)[0]:
+                raise ValueError(f"similarity {similarity} is too low for sketches")
+            out += [k ^ np.uint64(1) for k in _sketches(runs, band, every)]
     return out
 
 

@@ -74,7 +74,7 @@ def test_sketches_bound_the_difference():
             assert len(np.intersect1d(part_keys(a, band), part_keys(b, band))) > 0
 
 
-@pytest.mark.parametrize("a,b,common", [(25, 25, 0.34), (40, 40, 0.49), (99, 165, 0.3), (100, 100, 0.16), (100, 100, 0.3), (200, 200, 0.49), (390, 390, 0.49), (399, 660, 0), (399, 660, 0.3), (399, 660, 0.49), (1599, 2600, 0.49), (6399, 10600, 0.3)])
+@pytest.mark.parametrize("a,b,common", [(25, 25, 0.34), (40, 40, 0.49), (99, 165, 0.3), (100, 100, 0.16), (100, 100, 0.3), (200, 200, 0.49), (390, 390, 0.49), (399, 660, 0), (399, 660, 0.3), (399, 660, 0.49), (1599, 2600, 0.49), (6399, 10600, 0.3), (1700, 1700, 0), (5000, 5000, 0.5), (300, 300, 0.7)])
 def test_few_pairs_at_the_threshold_are_missed(a, b, common):
     r = np.random.default_rng(5)
     shared = int(np.ceil(0.6 * (a + b) / 1.6))
@@ -91,6 +91,27 @@ def test_few_pairs_at_the_threshold_are_missed(a, b, common):
     assert missed <= rounds / 400
 
 
+@pytest.mark.parametrize("similarity", [0.4, 0.5, 0.8, 0.9])
+def test_other_similarities_miss_as_few(similarity):
+    r = np.random.default_rng(7)
+    missed, rounds, size = 0, 300, 200
+    shared = int(np.ceil(similarity * 2 * size / (1 + similarity)))
+    for _ in range(rounds):
+        runs = r.integers(0, 1 << 63, 2 * size - shared).astype(np.uint64)
+        rare = np.arange(len(runs)) >= size // 4
+        keys = []
+        for at in (np.arange(size), np.concatenate((np.arange(shared), np.arange(size, len(runs))))):
+            at = at[np.argsort(runs[at])]
+            keys.append(np.concatenate(text_keys(runs[at], rare[at], similarity)))
+        missed += not len(np.intersect1d(*keys))
+    assert missed <= 2
+
+
+def test_too_low_a_similarity_is_refused():
+    with pytest.raises(ValueError):
+        text_keys(np.arange(90, dtype=np.uint64) * np.uint64(1 << 40), np.ones(90, bool), 0.02)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (200, 203)]
     nodes = spark.createDataFrame([(i,) for i in [*range(41), 100, 101, 102, 200, 203, 300]], "node long")
