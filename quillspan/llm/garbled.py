@@ -30,7 +30,10 @@ ONE_BYTE_PAIRS = (
     ("cp1252", "cp1251"), ("koi8-r", "cp1251"), ("mac_cyrillic", "cp1251"), ("cp866", "cp1251"),
     ("cp1251", "koi8-r"), ("cp1252", "koi8-r"), ("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp1252", "cp850"),
 )
-MAX_LAYERS = 4
+#: Layers that are taken off at most; a text garbled more often is found, and reported with what is left.
+MAX_LAYERS = 8
+#: Words whose costs and readings a task keeps.
+KEPT_WORDS = 100_000
 
 _C1 = re.compile("[\x80-\x9f]")
 _LETTER_ENTITY = re.compile(r"&[A-Za-z]{1,2}(?:grave|acute|circ|tilde|uml|ring|cedil|slash|lig|th|horn|caron);|&(?:ETH|eth|THORN|thorn|szlig|euro|sbquo|bdquo|hellip|dagger|Dagger|permil|lsaquo|rsaquo|lsquo|rsquo|ldquo|rdquo|bull|ndash|mdash|tilde|trade|iexcl|cent|pound|curren|yen|brvbar|sect|uml|copy|ordf|laquo|not|shy|reg|macr|deg|plusmn|sup[123]|acute|micro|para|middot|cedil|ordm|raquo|frac1[24]|frac34|iquest|times|divide|nbsp|fnof|Yuml);")
@@ -128,6 +131,9 @@ class ContextCost:
     documents: int = 0
     seen: dict[str, int] = field(default_factory=dict)
     most: dict[str, int] = field(default_factory=dict)
+    #: Words a task has met: their cost, and their readings.
+    costs: dict[str, float] = field(default_factory=dict, repr=False)
+    readings: dict[str, list[tuple[int, str, float, float]]] = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
         for c, n in self.seen.items():
@@ -138,6 +144,29 @@ class ContextCost:
         """Whether a character of ``word`` is rare in every context."""
         return any(self.most.get(c, 0) < 0.004 * self.documents for c in word if c > "\x7f")
 
+    def known(self, word: str) -> float:
+        """The cost of a word, kept for the next time."""
+        got = self.costs.get(word)
+        if got is None:
+            if len(self.costs) >= KEPT_WORDS:
+                self.costs.clear()
+            got = self.costs[word] = self.of(word)
+        return got
+
+    def read(self, word: str) -> list[tuple[int, str, float, float]]:
+        """(pair, reading, gain, lenient gain) of a word under each pair of encodings that makes another word of it."""
+        got = self.readings.get(word)
+        if got is None:
+            if len(self.readings) >= KEPT_WORDS:
+                self.readings.clear()
+            before, got = self.known(word), []
+            for i, (shown, meant) in enumerate(ONE_BYTE_PAIRS):
+                r = _re_read(word, shown, meant)
+                if r is not None and r != word and not _C1.search(r):
+                    got.append((i, r, before - self.of(r), before - self.of(r, True)))
+            self.readings[word] = got
+        return got
+
     def of(self, word: str, lenient: bool = False) -> float:
         """``lenient`` lets a sign stand beside any letter where it does beside many."""
         if self.documents <= 0:
@@ -179,46 +208,53 @@ def contexts(word: str) -> list[str]:
     return [p for both in _places(word) for p in both if p]
 
 
+#: Characters to those of the same bytes' numbers; what an encoding lacks becomes one that is no byte.
+_AS_BYTES = {e: {c: 0xFFFF for c in range(0x80, 0x100)} | {ord(c): b for c, b in table.items() if c > "\x7f"} for e, table in _BYTES.items()}
+
+
 def _re_read(word: str, shown: str, meant: str) -> str | None:
-    table = _BYTES[shown]
     try:
-        return bytes(table[c] if c > "\x7f" else ord(c) for c in word).decode(meant)
-    except (KeyError, UnicodeDecodeError):
+        return word.translate(_AS_BYTES[shown]).encode("latin-1").decode(meant)
+    except UnicodeError:
         return None
 
 
 def _re_read_words(text: str, cost: ContextCost) -> tuple[str, float]:
     """The one-byte pair whose repair lowers the cost most, over all words it betters."""
-    words = Counter(_NON_ASCII_WORD.findall(text))
+    words = dict.fromkeys(_NON_ASCII_WORD.findall(text))
     if not words or cost.documents <= 0:
         return text, 0.0
-    before = {w: cost.of(w) for w in words}
     rare = math.log(250)
-    if not any(c >= rare or _MIXED.search(w) for w, c in before.items()):
-        return text, 0.0
-    reads: list[dict[str, str]] = []
-    for shown, meant in ONE_BYTE_PAIRS:
-        every = ((w, _re_read(w, shown, meant)) for w in words)
-        reads.append({w: r for w, r in every if r is not None and r != w and not _C1.search(r)})
+    telling = [w for w in words if cost.known(w) >= rare or _MIXED.search(w)]
+
+    def is_evidence(w: str, r: str, gain: float) -> bool:
+        # One word must turn from very rare to common, by a character that is rare itself or stands at a letter
+        # or digit, or be a lone letter that was a sign (an ellipsis on its own is merely in a rare place); or
+        # mix Latin and Cyrillic letters, and no more.
+        if gain <= 0:
+            return False
+        if _MIXED.search(w) and not _MIXED.search(r):
+            return True
+        return gain >= 4.0 and cost.known(w) >= rare and bool(_AT_LETTER.search(w) or cost.rare_character(w) or w.isalpha() and len(w) == 1 and not r.isalpha())
+
     # First by exact places; signs found beside rarer letters only if that settles nothing.
-    for lenient in (False, True):
-        best, best_drop = {}, 0.0
-        for read in reads:
-            swap, drop = {}, 0.0
-            for w, r in read.items():
-                gain = before[w] - cost.of(r, lenient)
-                if gain > 0:
-                    swap[w], drop = r, drop + gain
-            if drop > best_drop:
-                best, best_drop = swap, drop
-        # As evidence, one word must turn from very rare to common, by a character that is rare itself or
-        # stands at a letter or digit, or be a lone letter that was a sign (an ellipsis on its own is merely
-        # in a rare place); or mix Latin and Cyrillic letters, and no more.
-        if any(_MIXED.search(w) and not _MIXED.search(r) or before[w] - cost.of(r, lenient) >= 4.0 and before[w] >= rare and (_AT_LETTER.search(w) or cost.rare_character(w) or w.isalpha() and len(w) == 1 and not r.isalpha()) for w, r in best.items()):
-            break
-    else:
-        return text, 0.0
-    return _NON_ASCII_WORD.sub(lambda m: best.get(m.group(), m.group()), text), best_drop
+    for lenient in (0, 1):
+        # Most texts have no evidence under any pair; only where there is some are all words read.
+        proven = {pair for w in telling for pair, r, *gain in cost.read(w) if is_evidence(w, r, gain[lenient])}
+        if not proven:
+            continue
+        swaps: dict[int, dict[str, str]] = {}
+        drops: Counter[int] = Counter()
+        for w in words:
+            for pair, r, *gain in cost.read(w):
+                if gain[lenient] > 0:
+                    swaps.setdefault(pair, {})[w] = r
+                    drops[pair] += gain[lenient]
+        best = max(sorted(drops), key=drops.__getitem__)
+        if best in proven:
+            swap = swaps[best]
+            return _NON_ASCII_WORD.sub(lambda m: swap.get(m.group(), m.group()), text), drops[best]
+    return text, 0.0
 
 
 def suspect(text: str) -> bool:
