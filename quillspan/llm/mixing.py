@@ -18,13 +18,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.llm.tokenize import encode_column
-from quillspan.session import materialize
+from quillspan.llm.tokenize import load_encoder, load_vocabulary
+from quillspan.session import materialize, release
 
 TOPICS = 8
-#: Texts on which topics are fitted, at most; every text is assigned.
-TOPIC_SAMPLE = 4000
-DIMENSIONS = 512
+#: Rounds in which topics are fitted to all texts, and numbers of a text's vector.
+TOPIC_ROUNDS = 6
+DIMENSIONS = 128
 #: A language with less than this share of the documents counts as "other".
 LANGUAGE_SHARE = 0.001
 #: Buckets of the drawing order a source's tokens are summed in.
@@ -33,8 +33,8 @@ DRAW_BUCKETS = 4096
 _WORD = re.compile(r"[^\W\d_]{3,}")
 
 
-def word_vector(text: str | None, known: dict[str, int]) -> np.ndarray:
-    """Direction of a text's hashed word counts; zero for one without words."""
+def word_vector(text: str | None, known: dict[str, int]) -> bytes | None:
+    """Direction of a text's hashed word counts as DIMENSIONS numbers from 0 to 255; none for one without words."""
     at = []
     for w in _WORD.findall(text.lower()) if text else ():
         d = known.get(w)
@@ -43,53 +43,63 @@ def word_vector(text: str | None, known: dict[str, int]) -> np.ndarray:
                 known.clear()
             d = known[w] = xxhash.xxh32_intdigest(w) % DIMENSIONS
         at.append(d)
-    v = np.sqrt(np.bincount(np.array(at, np.int64), minlength=DIMENSIONS)) if at else np.zeros(DIMENSIONS)
-    n = np.linalg.norm(v)
-    return v / n if n else v
-
-
-def fit_topics(x: np.ndarray, topics: int = TOPICS, rounds: int = 15) -> np.ndarray:
-    """Centres of spherical k-means over rows; the first is the mean, each next the row farthest from all."""
-    if not len(x):
-        return np.zeros((1, DIMENSIONS))
-    centres = [x.mean(0)]
-    while len(centres) < min(topics, len(x)):
-        centres.append(x[np.argmin(np.max(x @ np.array(centres).T, axis=1))])
-    c = np.array(centres)
-    for _ in range(rounds):
-        near = np.argmax(x @ c.T, axis=1)
-        c = np.array([x[near == k].mean(0) if (near == k).any() else c[k] for k in range(len(c))])
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    return c
+    if not at:
+        return None
+    v = np.sqrt(np.bincount(np.array(at, np.int64), minlength=DIMENSIONS))
+    return np.rint(v * (255 / np.linalg.norm(v))).astype(np.uint8).tobytes()
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(x for x in column.to_pylist() if x is not None), np.uint8).reshape(-1, DIMENSIONS).astype(np.float32)
 
 
-def with_topic(df: DataFrame, key: str, text: str, keep: list[str], topics: int = TOPICS, sample: int = TOPIC_SAMPLE) -> DataFrame:
-    """Kept columns and ``topic`` INT of each row; -1 for a text without words."""
+def topic_sums(rows: DataFrame, centres: np.ndarray, less: np.ndarray | None = None) -> np.ndarray:
+    """Per centre, the sum of the vectors (column ``v``) nearest to it: exact numbers, summed per task first."""
+    held = rows.sparkSession.sparkContext.broadcast((centres.astype(np.float32), less))
+    n = len(centres)
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, off = held.value
+        sums = np.zeros((n, DIMENSIONS), np.int64)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([word_vector(t.as_py(), known).tolist() for t in b.column(0)], pa.list_(pa.float64()))], names=["v"])
+            x = _vectors(b.column(0))
+            near = np.argmax((x if off is None else x - off.astype(np.float32)) @ c.T, axis=1) if len(x) else np.zeros(0, np.int64)
+            for k in np.unique(near):
+                sums[k] += x[near == k].astype(np.int64).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n * DIMENSIONS, dtype=np.int32)), pa.array(sums.ravel())], names=["at", "s"])
+
+    got = rows.select("v").mapInArrow(run, "at int, s long").groupBy("at").agg(F.sum("s").alias("s")).collect()  # topics x DIMENSIONS
+    out = np.zeros(n * DIMENSIONS)
+    for r in got:
+        out[r["at"]] = r["s"]
+    return out.reshape(n, DIMENSIONS)
+
+
+def fit_topics(rows: DataFrame, topics: int = TOPICS, rounds: int = TOPIC_ROUNDS) -> np.ndarray:
+    """Centres of spherical k-means over the vectors of all rows, from fixed directions around their mean."""
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    mean = unit(topic_sums(rows, np.ones((1, DIMENSIONS))))
+    centres = topic_sums(rows, np.random.default_rng(5).standard_normal((topics, DIMENSIONS)), mean[0] * 255)
+    for _ in range(rounds):
+        centres = topic_sums(rows, unit(np.where(centres.any(1, keepdims=True), centres, mean)))
+    return unit(np.where(centres.any(1, keepdims=True), centres, mean))
+
 
-    # The keys of the sample first, then vectors of fixed length: no texts come to the driver.
-    order = F.xxhash64(F.lit(3), key)
-    edge = df.where(F.col(text).isNotNull()).select(order.alias("o")).orderBy("o").limit(sample).agg(F.max("o")).first()[0]
-    rows = df.where(F.col(text).isNotNull() & (order <= edge)).select(text).mapInArrow(vectors, "v array<double>").limit(2 * sample).collect() if edge is not None else []
-    x = np.array([r["v"] for r in rows], float).reshape(len(rows), DIMENSIONS)
-    centres = df.sparkSession.sparkContext.broadcast(fit_topics(np.unique(x[x.any(1)].round(9), axis=0), topics))
-    kept = [c for c in keep if c != "topic"]
+def with_topic(rows: DataFrame, centres: np.ndarray) -> DataFrame:
+    """``topic`` INT in place of ``v``; -1 for a text without words."""
+    held = rows.sparkSession.sparkContext.broadcast(centres.astype(np.float32))
+    kept = [c for c in rows.columns if c not in ("v", "topic")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
         for b in batches:
-            out = []
-            for t in b.column(0):
-                v = word_vector(t.as_py(), known)
-                out.append(int(np.argmax(centres.value @ v)) if v.any() else -1)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(out, pa.int32())], names=[*kept, "topic"])
+            out = np.full(b.num_rows, -1, np.int32)
+            some = np.flatnonzero(b.column(0).is_valid().to_numpy(zero_copy_only=False))
+            if len(some):
+                out[some] = np.argmax(_vectors(b.column(0)) @ held.value.T, axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(out)], names=[*kept, "topic"])
 
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept), "topic int"])
-    return df.select(F.col(text).alias("__text"), *kept).mapInArrow(run, schema)
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept), "topic int"])
+    return rows.select("v", *kept).mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)
@@ -167,9 +177,24 @@ def _uniform(key: str) -> Column:
 def prepare(docs: DataFrame, key: str = "doc_id", text: str = "text", *, folder: str | None = None, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     """(key, source, language, topic, tokens) of each document; sources and languages trimmed, in lower case."""
     tidy = lambda c: F.lower(F.trim(F.col(c)))
-    rows = docs.select(key, text, tidy("source").alias("source"), F.coalesce(tidy("lang"), F.lit("")).alias("language"))
-    counted = encode_column(rows, text, ids="tokens", keep=[key, "source", "language", text], folder=folder, vocabulary=vocabulary, count_only=True)
-    got = materialize(with_topic(counted, key, text, [key, "source", "language", "tokens"]), "mix-docs")
+    held = load_vocabulary(docs, vocabulary, folder)
+    kept = [key, "source", "language"]
+
+    # The only pass over the texts.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, known = load_encoder(held.value), {}
+        for b in batches:
+            tokens, vectors = [], []
+            for t in b.column(0):
+                t = t.as_py()
+                tokens.append(bpe.count(t))
+                vectors.append(word_vector(t, known))
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(tokens, pa.int32()), pa.array(vectors, pa.binary())], names=[*kept, "tokens", "v"])
+
+    rows = docs.select(F.col(text).alias("__text"), key, tidy("source").alias("source"), F.coalesce(tidy("lang"), F.lit("")).alias("language"))
+    measured = materialize(rows.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, source string, language string, tokens int, v binary"), "mix-vectors")
+    got = materialize(with_topic(measured, fit_topics(measured)), "mix-docs")
+    release(measured)
     n = got.count()
     common = [r["language"] for r in got.groupBy("language").count().where(F.col("count") >= max(1.0, LANGUAGE_SHARE * n)).collect()]  # at most 1 / LANGUAGE_SHARE
     return got.withColumn("language", F.when(F.col("language").isin(common), F.col("language")).otherwise(F.lit("other")))
@@ -218,3 +243,15 @@ def mix(prepared: DataFrame, targets: DataFrame, key: str = "doc_id", *, total:
     report = plan.join(F.broadcast(got), "source", "left")  # both have a row a source
     report = report.select("source", "target_share", "max_repeats", "available_tokens", "goal_tokens", F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.coalesce(F.col("mixed_tokens") / whole, F.lit(0.0)).alias("actual_share"))
     return chosen, report
+
+
+def marginals(prepared: DataFrame, chosen: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(kind, name, natural_share, mixed_share): tokens of each language and topic in all documents and in the mix."""
+    copies = chosen.groupBy(key).agg(F.sum("copies").alias("copies"))
+    both = prepared.groupBy(key, "language", "topic").agg(F.sum("tokens").alias("tokens"), F.max("tokens").alias("one")).join(copies, key, "left")
+    cells = both.groupBy("language", "topic").agg(F.sum("tokens").alias("have"), F.sum(F.col("one") * F.coalesce("copies", F.lit(0))).alias("got"))
+    kinds = F.array(F.struct(F.lit("language").alias("kind"), F.col("language").alias("name")), F.struct(F.lit("topic").alias("kind"), F.col("topic").cast("string").alias("name")))
+    each = cells.select("have", "got", F.inline(kinds)).groupBy("kind", "name").agg(F.sum("have").alias("have"), F.sum("got").alias("got"))
+    w = Window.partitionBy("kind")  # a row a language and topic
+    share = lambda c: F.coalesce(F.try_divide(F.col(c), F.sum(c).over(w)), F.lit(0.0))
+    return each.select("kind", "name", share("have").alias("natural_share"), share("got").alias("mixed_share"))

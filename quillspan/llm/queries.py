@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspan.llm.garbled import repair_texts
 from quillspan.llm.mainbody import keyword_pages, main_pieces, main_text
-from quillspan.llm.mixing import mix, prepare
+from quillspan.llm.mixing import marginals, mix, prepare
 from quillspan.llm.nearcopies import similar_classes, similar_pairs
 from quillspan.llm.rankagg import beta_significance, rank_aggregate
 from quillspan.llm.tokenize import encode_column
@@ -107,6 +107,12 @@ def p9_exact_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d, None)[1]
 
 
+def p9_marginals(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of languages and topics in all documents and in the mix."""
+    ready = prepare(_table(spark, d, "documents").select("doc_id", "text", "source", "lang"))
+    return marginals(ready, mix(ready, _table(spark, d, "mix_targets"), total="all")[0])
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     got = repair_texts(_table(spark, d, "documents").select("doc_id", "text"), keep=["doc_id"])
     return got.where("garbled").select("doc_id")
@@ -118,7 +124,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return got.where("garbled").select("doc_id", "restored", "layers")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_text, p2_found, p5_found, p5_ranking, p6_found, p6_classes, p6_documents, p8_ids, p9_mix, p9_shares, p9_exact_shares, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_text, p2_found, p5_found, p5_ranking, p6_found, p6_classes, p6_documents, p8_ids, p9_mix, p9_shares, p9_exact_shares, p9_marginals, p10_found, p10_restored)}
 _RANKED = (
     "c as (select term, doc, max(value) as v from pt_tf where term is not null and doc is not null group by term, doc), r as (select page_key, arg_max_null(rank, computed_at) as rank from pt_pageranks group by page_key), "
     "x as (select term, doc, count(*) over (partition by term) as n, row_number() over (partition by term order by v desc nulls last, doc) as pv, row_number() over (partition by term order by rank desc nulls last, doc) as pr from c left join r on doc = r.page_key)"

@@ -125,6 +125,10 @@ class PrefixBpe:
         """Ids of a text, without special tokens; none for an empty or null one."""
         return list(chain.from_iterable(map(self._cache.__getitem__, self._split.findall(text)))) if text else []
 
+    def count(self, text: str | None) -> int:
+        """How many ids ``encode`` gives."""
+        return sum(map(len, map(self._cache.__getitem__, self._split.findall(text)))) if text else 0
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(self.tokens[i] for i in ids).decode("utf-8", "replace")
 
@@ -189,14 +193,15 @@ class EditableEncoding:
 _encoders: dict[str, PrefixBpe] = {}
 
 
-def _encoder(vocabulary: bytes) -> PrefixBpe:
+def load_encoder(vocabulary: bytes) -> PrefixBpe:
+    """The encoder of a vocabulary, made once a process."""
     key = hashlib.sha1(vocabulary).hexdigest()
     if key not in _encoders:
         _encoders[key] = PrefixBpe(vocabulary)
     return _encoders[key]
 
 
-def _vocabulary(df: DataFrame, name: str, folder: str | None):
+def load_vocabulary(df: DataFrame, name: str, folder: str | None):
     with open(tokenizer_path(name, folder), "rb") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())  # 1.6 MB, whatever the data
 
@@ -208,12 +213,12 @@ def encode_column(df: DataFrame, text: str = "text", *, ids: str = "ids", keep:
     named like ``ids`` is replaced. Whole texts of any length are encoded; no shuffle.
     """
     kept = [c for c in (keep if keep is not None else df.columns) if c != ids]
-    held = _vocabulary(df, vocabulary, folder)
+    held = load_vocabulary(df, vocabulary, folder)
     kind = "int" if count_only else "array<int>"
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept), f"`{ids}` {kind}"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _encoder(held.value)
+        bpe = load_encoder(held.value)
         find, get = bpe._split.findall, bpe._cache.__getitem__
         for b in batches:
             flat, ends = array("i"), array("i", [0])

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from quillspan.llm.mixing import Cell, allocate, mix, prepare, rake
+from quillspan.llm.mixing import Cell, allocate, marginals, mix, prepare, rake
 
 
 def test_allocate():
@@ -66,3 +66,29 @@ def test_empty(spark, docs):
     chosen, report = mix(prepare(docs.limit(0)), targets)
     assert chosen.count() == 0 and [r["actual_share"] for r in report.collect()] == [0.0]
     assert mix(prepare(docs), targets.limit(0))[0].count() == 0
+
+
+def test_topics_are_told_from_all_texts(spark):
+    r = random.Random(9)
+    words = {"a": [f"orchard{k}x" for k in "abcdefghijkl"], "b": [f"engine{k}y" for k in "abcdefghijkl"]}
+    rows = [(i, " ".join(r.choice(words["ab"[i % 2]]) for _ in range(60)), "s", "en") for i in range(200)] + [(900, "1 2", "s", "en"), (901, None, "s", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r["doc_id"]: r["topic"] for r in prepare(df.repartition(3)).collect()}
+    assert not {got[i] for i in range(0, 200, 2)} & {got[i] for i in range(1, 200, 2)}
+    assert got[900] == got[901] == -1
+    assert got == {r["doc_id"]: r["topic"] for r in prepare(df.repartition(7)).collect()}
+
+
+def test_texts_are_read_once(spark, docs):
+    plan = prepare(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "text" not in plan
+
+
+def test_marginals(spark, docs):
+    ready = prepare(docs)
+    chosen = mix(ready, spark.createDataFrame([("wiki", 0.6, 1), ("news", 0.4, 1)], "source string, target_share double, max_repeats int"), total="all")[0]
+    got = marginals(ready, chosen).collect()
+    for kind in ("language", "topic"):
+        assert sum(r["natural_share"] for r in got if r["kind"] == kind) == pytest.approx(1)
+        assert sum(r["mixed_share"] for r in got if r["kind"] == kind) == pytest.approx(1)
+    assert marginals(ready.limit(0), chosen.limit(0)).count() == 0
