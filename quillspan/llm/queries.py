@@ -9,7 +9,7 @@ from quillspan.llm.garbled import repair_texts
 from quillspan.llm.mainbody import keyword_pages, main_pieces, main_text
 from quillspan.llm.mixing import marginals, mix, prepare
 from quillspan.llm.nearcopies import similar_classes, similar_pairs
-from quillspan.llm.rankagg import beta_significance, rank_aggregate
+from quillspan.llm.rankagg import order_statistics, rank_aggregate
 from quillspan.llm.tokenize import encode_column
 from quillspan.operators.joins import join_small
 from quillspan.session import spread
@@ -61,10 +61,10 @@ def p5_ranking(spark: SparkSession, d: str) -> DataFrame:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     ranked, asked = _rankings(spark, d, True)
     k = F.floor(F.col("n") / 10)
-    # Both normalised ranks at most 1/10 give a significance of at most 2 * 0.1 ** 2, with missing scores at their positions.
-    placed = beta_significance([F.col("pos_rank") / F.col("n"), F.col("pos_value") / F.col("n")])
-    # Every place in the ranking is from 1 to n; asking for it keeps the final ranking in the plan.
-    top = ranked.where(F.col("position").between(1, F.col("n")) & (placed <= 0.02 + 1e-9) & (F.col("pos_rank") <= k) & (F.col("pos_value") <= k))
+    # The last order statistic tells how high an item stands in every ranking at once (missing scores at their
+    # positions): an item among the first k of both has at most the probability of rank k / n. The exact check follows.
+    both = order_statistics([F.col("pos_rank") / F.col("n"), F.col("pos_value") / F.col("n")])[-1]
+    top = ranked.where(F.col("position").isNotNull() & (both <= F.pow(k / F.col("n"), F.lit(2)) + 1e-12) & (F.col("pos_rank") <= k) & (F.col("pos_value") <= k))
     return join_small(top, asked, ["term"], spread=["page_key"]).select("query_id", "page_key")
 
 

@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 from quillspan.operators.joins import join_small
 from quillspan.session import materialize
 
-#: Groups above this many rows are ranked in several buckets of rows.
+#: Groups above this many rows are ranked in several buckets of about so many rows, however many that makes.
 GROUP_ROWS = 50_000
-MOST_BUCKETS = 256
 
 
 def order_of(score: str, item: str) -> list[Column]:
@@ -27,8 +26,8 @@ def order_of(score: str, item: str) -> list[Column]:
     return [F.col(score).isNull(), -F.col(score), F.col(item)]
 
 
-def beta_significance(ranks: list[Column]) -> Column:
-    """The corrected least beta order-statistic probability of m normalised ranks."""
+def order_statistics(ranks: list[Column]) -> list[Column]:
+    """For each k the beta probability that the k-th smallest of m normalised ranks is by chance no larger than it is."""
     m = len(ranks)
     ordered = F.sort_array(F.array(*ranks))
 
@@ -36,8 +35,14 @@ def beta_significance(ranks: list[Column]) -> Column:
         x = F.element_at(ordered, k)
         return reduce(lambda a, b: a + b, [comb(m, j) * F.pow(x, F.lit(j)) * F.pow(1 - x, F.lit(m - j)) for j in range(k, m + 1)])
 
-    least = at_most(1) if m == 1 else F.least(*[at_most(k) for k in range(1, m + 1)])
-    return F.least(F.lit(1.0), least * m)
+    return [at_most(k) for k in range(1, m + 1)]
+
+
+def beta_significance(ranks: list[Column]) -> Column:
+    """The corrected least beta order-statistic probability of m normalised ranks."""
+    each = order_statistics(ranks)
+    least = each[0] if len(each) == 1 else F.least(*each)
+    return F.least(F.lit(1.0), least * len(ranks))
 
 
 def _significance(scores: list[str], n: Column) -> Column:
@@ -53,7 +58,7 @@ def position_in_buckets(rows: DataFrame, group: list[str], order: list[Column],
     only where the work is done.
     """
     key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    buckets = F.least(F.lit(MOST_BUCKETS), F.ceil(F.col("__n") / group_rows))
+    buckets = F.ceil(F.col("__n") / group_rows)
     known = join_small(rows, sizes.withColumnRenamed("n", "__n"), group, spread=[item])
     every = F.greatest(F.lit(1), F.floor(F.col("__n") / (8 * buckets)))
     sample = known.where(F.pmod(F.xxhash64(F.lit(7), F.col(item)), every) == 0)
