@@ -26,7 +26,7 @@ def load_objects(spark: SparkSession, prefix: str, manifest: DataFrame | None =
     goes by its path. Keys are hashes of urls; of objects with one url the last by path stays. Content is read as
     UTF-8 with bad bytes replaced; ``length`` counts characters. Empty objects are left out (the file source lists none).
     """
-    objects = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(prefix).select("path", F.expr("decode(content, 'UTF-8')").alias("page"))
+    objects = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(prefix).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("page"))
     if manifest is not None:
         objects = objects.join(manifest.select("path", "url"), "path", "left")
     else:

@@ -12,9 +12,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Longest key, column name or length number.
-MAX_TOKEN = 16384
-
 
 def parse_rows(body: bytes) -> Iterator[tuple[int, int, bytes, dict[bytes, bytes]]]:
     """(start, end, key, columns) of each complete record of ``body``.
@@ -28,7 +25,7 @@ def parse_rows(body: bytes) -> Iterator[tuple[int, int, bytes, dict[bytes, bytes
             at += 1
             continue
         start = at
-        blank = body.find(b" ", at, at + MAX_TOKEN + 1)
+        blank = body.find(b" ", at)
         if blank < 0:
             return
         key, cols, at = body[start:blank], {}, blank + 1
@@ -38,7 +35,7 @@ def parse_rows(body: bytes) -> Iterator[tuple[int, int, bytes, dict[bytes, bytes
             if body[at] == 10:
                 at += 1
                 break
-            blank = body.find(b" ", at, at + MAX_TOKEN + 1)
+            blank = body.find(b" ", at)
             if blank < 0:
                 return
             name = body[at:blank]

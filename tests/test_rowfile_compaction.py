@@ -1,8 +1,10 @@
 import random
 
+import pyarrow as pa
 import pytest
 
-from quillspan.operators.compaction import FirstFit, compact
+from quillspan.operators import compaction
+from quillspan.operators.compaction import FirstFit, compact, pack
 from quillspan.sources.rowfile import format_row, parse_rows, read_row_files, read_rows
 
 
@@ -84,3 +86,50 @@ def test_scratch_tables(spark):
     release(spark.range(1))  # nothing to remove
     clear_scratch(spark)
     assert materialize(spark.range(0).toDF("n"), "t").count() == 0
+
+
+def test_long_keys_and_names_end_nothing():
+    body = format_row(b"k" * 40_000, {b"c" * 40_000: b"1"}) + record(2)
+    assert [(len(k), len(c)) for _, _, k, c in parse_rows(body)] == [(40_000, 1), (4, 4)]
+
+
+def test_no_byte_is_lost(spark):
+    odd = {b"crawlId": b"7", b"url": b"http://h/\xff", b"page": b"\x00\xfe", b"extra": b"\xc3", b"\xff": b"", b"length": b"2"}
+    df = spark.createDataFrame([(1, bytearray(format_row(b"k\xff", odd)))], "file_id long, body binary")
+    done = compact(df)
+    r = done.stored(spark).first()
+    assert bytes(r["key"]) == b"k\xff" and {**{bytes(k): bytes(v) for k, v in r["cols"].items()}, b"page": bytes(r["page"])} == odd
+    assert done.read(spark).first()["length"] == 2
+    manifest = spark.read.parquet(f"{done.path}/manifest").collect()
+    assert [(m["n_bytes"], m["bin"]) for m in manifest] == [(len(format_row(b"k\xff", odd)), 0)]
+
+
+@pytest.mark.parametrize("column", ["key", "page", "cols"])
+def test_damage_is_not_committed(spark, tmp_path, monkeypatch, column):
+    whole = compaction._rewrite
+
+    def damaged(batches):
+        for b in whole(batches):
+            cols = b.to_pydict()
+            if cols[column]:
+                x = cols[column][0]
+                cols[column][0] = [(n, v + b"!") for n, v in x] if column == "cols" else x[:-1] + b"!"
+            yield pa.RecordBatch.from_arrays([pa.array(cols[n], t) for n, t in zip(compaction._STORED_NAMES, compaction._STORED_TYPES, strict=True)], names=compaction._STORED_NAMES)
+
+    monkeypatch.setattr(compaction, "_rewrite", damaged)
+    df = spark.createDataFrame([(i, bytearray(record(i, b"x"))) for i in range(1, 9)], "file_id long, body binary")
+    with pytest.raises(ValueError, match="not committed"):
+        compact(df, f"file://{tmp_path}/out")
+    assert not (tmp_path / "out").exists() and not (tmp_path / "out.staging").exists()
+
+
+def test_bins_are_near_the_ideal(spark):
+    r = random.Random(3)
+    sizes = [(i, min(9000, int(r.expovariate(1 / 900)) + 20)) for i in range(20_000)]
+    total = sum(n for _, n in sizes)
+    got = pack(spark.createDataFrame(sizes, "file_id long, bytes long").repartition(5), 10_000, total)
+    held = {}
+    for f, b in got.collect():
+        held[b] = held.get(b, 0) + sizes[f][1]
+    assert sum(held.values()) == total and max(held.values()) <= 10_000
+    assert len(held) <= 1.1 * total / 10_000
