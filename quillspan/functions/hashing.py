@@ -29,7 +29,10 @@ def encode_key(value: Column) -> Column:
 
 
 def decode_key(value: Column) -> Column:
-    """The key of a file-name form whose codes have two digits."""
+    """The key of a file-name form whose codes have two digits, as those of characters up to U+00FF have.
+
+    Longer codes are not told from digits that follow, so keys with other characters do not come back.
+    """
     parts = F.split(value, "(?=_[0-9a-f]{2})", -1)
     one = lambda p: F.when(p.rlike("^_[0-9a-f]{2}"), F.concat(F.char(F.conv(F.substring(p, 2, 2), 16, 10).cast("int")), F.substring(p, F.lit(4), F.length(p)))).otherwise(p)
     return F.array_join(F.transform(parts, one), "")

@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.operators.joins import join_small
+from quillspan.session import materialize
+
 #: The suffix rules of steps 2 to 4, as published.
 _STEP2 = "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
 _STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
@@ -101,7 +104,8 @@ def stem(word: Column) -> Column:
     return F.pandas_udf(_stems, "string")(word)
 
 
-def with_stems(df: DataFrame, word: str, out: str = "stem") -> DataFrame:
-    """``df`` with the stem of a word column: each distinct word is stemmed once and joined back."""
-    vocabulary = df.select(word).where(F.col(word).isNotNull()).distinct().withColumn(out, stem(F.col(word)))
-    return df.join(vocabulary, word, "left")
+def with_stems(df: DataFrame, word: str, out: str = "stem", spread: list[str] | None = None) -> DataFrame:
+    """``df`` with the stem of a word column: each distinct word is stemmed once and joined back, a frequent word's
+    rows being spread by the ``spread`` columns."""
+    vocabulary = materialize(df.select(word).where(F.col(word).isNotNull()).distinct().withColumn(out, stem(F.col(word))), "stems")
+    return join_small(df, vocabulary, [word], "left", spread=spread)

@@ -47,6 +47,11 @@ def token_count(text: Column, found: Column) -> Column:
     return F.size(found) + F.when(text.rlike("^[a-z0-9]"), F.lit(0)).otherwise(F.lit(1))
 
 
+def counted_words(plain_text: Column) -> Column:
+    """STRUCT<words, n>: the words of plain text and its number of tokens; the text is gone through once."""
+    return F.transform(F.array(words_of_plain(plain_text)), lambda w: F.struct(w.alias("words"), token_count(plain_text, w).alias("n")))[0]
+
+
 def query_words(text: Column) -> Column:
     """Distinct raw words of a query, in order; ASCII apostrophes stay."""
     plain = F.regexp_replace(F.lower(text), _QUERY_MARKS, " ")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -140,45 +141,57 @@ def matches_any(url: Column, patterns: Sequence[str]) -> Column:
 
 
 def language_marked(url: Column, codes: Sequence[str] = LANGUAGE_CODES) -> Column:
-    """Whether a path segment or a lang, language or locale parameter names one of ``codes``."""
+    """Whether a path segment or a lang, language or locale parameter names one of ``codes``, which may be
+    regional ones (``pt-br``)."""
     low = F.lower(url)
     any_code = "|".join(codes)
     return low.rlike(f"/(?:{any_code})/") | low.rlike(f"(?:lang|language|locale)=(?:{any_code})") | F.arrays_overlap(F.split(low, "/"), F.array(*[F.lit(c) for c in codes]))
 
 
+def language_host(url: Column, labels: Sequence[str]) -> Column:
+    """Whether a label of the host in front of the last two is one of ``labels`` (languages, codes, regions)."""
+    before = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://((?:[^/:?#.]+[.])+)[^/:?#.]+[.][^/:?#.]+(?:[:/?#]|$)", 1)
+    return F.arrays_overlap(F.split(before, "[.]"), F.array(*[F.lit(x) for x in labels]))
+
+
 def parse_robots(content: Column, agent: Column) -> Column:
-    """STRUCT<rules, crawl_delay> for an agent: the rules of its own groups, else those of ``*``, in order.
+    """STRUCT<rules, crawl_delay> for an agent: the rules of all groups that name it, else of those for ``*``, in order.
 
-    Python, in Arrow batches, one call per host. Null and empty contents have no rules.
+    A group is one or more user-agent lines and the lines up to the next such line behind rules. Python, in Arrow
+    batches, one call per host. Null and empty contents have no rules; of several delays the last counts.
     """
     return F.pandas_udf(_parse_robots, "struct<rules array<struct<rule_type string, prefix string>>, crawl_delay double>")(content, agent)
 
 
+_FIELD = re.compile(r"^[^\S\r\n]*([A-Za-z-]+)[^\S\r\n]*:([^#\r\n]*)", re.M)
+
+
+def _groups(text: str) -> list[tuple[set[str], list[tuple[str, str]]]]:
+    """(agents, (field, value) lines) of each group of a robots file."""
+    out: list[tuple[set[str], list[tuple[str, str]]]] = []
+    for name, value in _FIELD.findall(text):
+        name, value = name.lower(), value.strip()
+        if name == "user-agent":
+            if not out or out[-1][1]:
+                out.append((set(), []))
+            out[-1][0].add(value.lower())
+        elif out:
+            out[-1][1].append((name, value))
+    return out
+
+
+def _number(text: str) -> float | None:
+    return float(text) if re.fullmatch(r"\d+(?:\.\d*)?|\.\d+", text) else None
+
+
 def _parse_robots(content: pd.Series, agent: pd.Series) -> pd.DataFrame:
     out = []
     for text, own in zip(content, agent, strict=True):
-        mine: list[dict] = []
-        every: list[dict] = []
-        found, into, delay = False, None, None
-        for line in (text or "").split("\n"):
-            name, colon, value = line.strip().partition(":")
-            name, value = name.strip().lower(), value.strip()
-            if not colon or line.strip().startswith("#"):
-                continue
-            if name == "user-agent":
-                who = value.lower()
-                if who == (own or "").lower():
-                    mine, found, into = [], True, "own"
-                else:
-                    into = "all" if who == "*" and not found else None
-            elif into and name in ("allow", "disallow"):
-                (mine if into == "own" else every).append({"rule_type": name, "prefix": value})
-            elif into and name == "crawl-delay":
-                try:
-                    delay = float(value)
-                except ValueError:
-                    pass
-        out.append((mine if found else every, delay))
+        groups = _groups(text or "")
+        mine = [lines for agents, lines in groups if (own or "").lower() in agents] or [lines for agents, lines in groups if "*" in agents]
+        lines = [line for group in mine for line in group]
+        delays = [d for name, value in lines if name == "crawl-delay" and (d := _number(value)) is not None]
+        out.append(([{"rule_type": n, "prefix": v} for n, v in lines if n in ("allow", "disallow")], delays[-1] if delays else None))
     return pd.DataFrame(out, columns=["rules", "crawl_delay"])
 
 

@@ -1,20 +1,20 @@
 """A small dataset API over DataFrames: bags of strings and of pairs.
 
 Everything is lazy; nothing runs before an action. Where a function is a Column expression the plan
-stays in the JVM; a Python function is the way out for what expressions cannot say.
+stays in the JVM; with ``python=True`` it is an opaque Python function of strings, called in Arrow batches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 ColumnFunction = Callable[..., Column]
-_PAIRS = T.ArrayType(T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.StringType())]))
 
 
 def _each(df: DataFrame, array: Column) -> DataFrame:
@@ -26,6 +26,25 @@ def _each_pair(df: DataFrame, array: Column) -> DataFrame:
     return df.select(F.inline_outer(array)).toDF("k", "v").where("k is not null or v is not null")
 
 
+def _python(df: DataFrame, f: Callable[..., Iterable], schema: str) -> DataFrame:
+    """What ``f`` gives for each row's columns, in Arrow batches: strings, or tuples of strings."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [x for row in zip(*(c.to_pylist() for c in b.columns), strict=True) for x in f(*row) or ()]
+            columns = [out] if len(names) == 1 else list(zip(*out, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=names)
+
+    return df.mapInArrow(run, schema)
+
+
+def _folded(df: DataFrame, values: Column, zero: str, f: Callable[[str, str], str], keys: list[str]) -> DataFrame:
+    """A left fold by an opaque function over collected values (``zero`` once), in Arrow batches."""
+    fold = F.pandas_udf(lambda lists: lists.map(lambda x: reduce(f, x, zero)), "string")
+    return df.groupBy(*keys).agg(values.alias("__all")).select(*keys, fold("__all").alias("v"))
+
+
 class Destroyed(RuntimeError):
     """The dataset was destroyed."""
 
@@ -84,19 +103,25 @@ class Bag(_Held):
 
     def flat_map(self, f: ColumnFunction | Callable[[str], Iterable[str] | None], python: bool = False) -> Bag:
         """``f`` gives an array of strings per element; null and empty arrays give nothing."""
-        f = F.udf(f, T.ArrayType(T.StringType())) if python else f
+        if python:
+            return Bag(self.engine, _python(self.df, f, "value string").where("value is not null"))
         return Bag(self.engine, _each(self.df, f(F.col("value"))))
 
     def flat_map_to_pair(self, f: Callable, python: bool = False) -> Pairs:
         """``f`` gives an array of (k, v) structs per element."""
-        f = F.udf(f, _PAIRS) if python else f
+        if python:
+            return Pairs(self.engine, _python(self.df, f, "k string, v string"))
         return Pairs(self.engine, _each_pair(self.df, f(F.col("value"))))
 
-    def map_to_pair(self, key: ColumnFunction, value: ColumnFunction) -> Pairs:
+    def map_to_pair(self, key: ColumnFunction, value: ColumnFunction, python: bool = False) -> Pairs:
         """At most one pair per element: none where the key is null."""
+        if python:
+            return Pairs(self.engine, _python(self.df, lambda v: [(key(v), value(v))], "k string, v string").where("k is not null"))
         return Pairs(self.engine, self.df.select(key(F.col("value")).alias("k"), value(F.col("value")).alias("v")).where("k is not null"))
 
-    def filter(self, predicate: ColumnFunction) -> Bag:
+    def filter(self, predicate: ColumnFunction | Callable[[str], bool], python: bool = False) -> Bag:
+        if python:
+            return Bag(self.engine, _python(self.df, lambda v: [v] if predicate(v) else [], "value string"))
         return Bag(self.engine, self.df.where(predicate(F.col("value"))))
 
     def map_partitions(self, f: Callable[[Iterator[str]], Iterable[str]]) -> Bag:
@@ -127,16 +152,21 @@ class Bag(_Held):
     def union(self, other: Bag) -> Bag:
         return Bag(self.engine, self.df.unionByName(other.df))
 
-    def group_by(self, key: ColumnFunction) -> Pairs:
+    def group_by(self, key: ColumnFunction | Callable[[str], str], python: bool = False) -> Pairs:
         """(key, its elements in order, joined by commas)."""
+        if python:
+            pairs = self.map_to_pair(key, lambda v: v, python=True).df
+            return Pairs(self.engine, pairs.groupBy("k").agg(F.array_join(F.array_sort(F.collect_list("v")), ",").alias("v")))
         grouped = self.df.groupBy(key(F.col("value")).alias("k")).agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("v"))
         return Pairs(self.engine, grouped)
 
-    def fold(self, zero: Column, f: Callable[[Column, Column], Column]) -> DataFrame:
+    def fold(self, zero: Column | str, f: Callable, python: bool = False) -> DataFrame:
         """One row ``value``: a left fold over the elements in order, ``zero`` used once.
 
         For aggregates that merge (sums, counts, extremes) use ``aggregate``: a fold needs all elements.
         """
+        if python:
+            return _folded(self.df, F.array_sort(F.collect_list("value")), zero, f, []).withColumnRenamed("v", "value")
         return self.df.agg(F.aggregate(F.array_sort(F.collect_list("value")), zero, f).alias("value"))
 
     def aggregate(self, expression: Column) -> DataFrame:
@@ -154,14 +184,20 @@ class Bag(_Held):
 class Pairs(_Held):
     """A bag of (k, v) strings."""
 
-    def flat_map(self, f: Callable[[Column, Column], Column]) -> Bag:
+    def flat_map(self, f: Callable, python: bool = False) -> Bag:
+        if python:
+            return Bag(self.engine, _python(self.df.select("k", "v"), f, "value string").where("value is not null"))
         return Bag(self.engine, _each(self.df, f(F.col("k"), F.col("v"))))
 
-    def flat_map_to_pair(self, f: Callable[[Column, Column], Column]) -> Pairs:
+    def flat_map_to_pair(self, f: Callable, python: bool = False) -> Pairs:
+        if python:
+            return Pairs(self.engine, _python(self.df.select("k", "v"), f, "k string, v string"))
         return Pairs(self.engine, _each_pair(self.df, f(F.col("k"), F.col("v"))))
 
-    def fold_by_key(self, zero: Column, f: Callable[[Column, Column], Column]) -> Pairs:
+    def fold_by_key(self, zero: Column | str, f: Callable, python: bool = False) -> Pairs:
         """A left fold over each key's values in order, ``zero`` once per key. Holds a key's values at once."""
+        if python:
+            return Pairs(self.engine, _folded(self.df, F.array_sort(F.collect_list("v")), zero, f, ["k"]))
         return Pairs(self.engine, self.df.groupBy("k").agg(F.aggregate(F.array_sort(F.collect_list("v")), zero, f).alias("v")))
 
     def aggregate_by_key(self, expression: Column) -> Pairs:

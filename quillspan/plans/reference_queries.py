@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
 from quillspan.functions import urls as U
-from quillspan.functions.hashing import encode_key, row_key
+from quillspan.functions.hashing import decode_key, encode_key, row_key
 from quillspan.functions.stem import with_stems
 from quillspan.operators.dataset import Bag, Engine, Pairs
 from quillspan.operators.upsert import compare_and_set, put_cells, put_rows
 from quillspan.plans import jobs as J
-from quillspan.session import materialize, spread
-from quillspan.sources.files import once_per_prefix
+from quillspan.session import materialize, scratch_path, spread
+from quillspan.sources.files import load_objects, once_per_prefix, read_words, write_words
+from quillspan.sources.rowfile import read_rows
+from quillspan.sources.store import TableStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,12 +30,21 @@ def _counts(doc: str, text: str, table: str) -> str:
     return f"t as (select {doc} as doc, unnest({_tokens(text)}) as term, len({_tokens(text)}) as words from {table} where {text} is not null)"
 
 
-#: Patterns of urls that are no pages, as far as they are general.
-PATTERNS = [r".*\.(png|jpe?g|gif|bmp|tiff|webp|ico|svg)$", r".*\.(pdf|doc|docx|ppt|pptx|xls|xlsx|odt|ods|odp)$", r".*\.(zip|rar|7z|tar|gz|bz2)$", r".*\.(txt|csv|json|xml)$", r".*\.(js|css|less|scss|map)$", r".*/archive/.*", r".*/tags/.*", r".*/search/.*", r".*/page/\d+/.*", r".*/login/.*"]
+#: Urls that the queries here take for no pages: media, archives, and listings.
+PATTERNS = [r".*[.](mp3|mp4|avi|iso)", r".*[.](zip|gz|pdf)", r".*/(tags|feed)/.*", r".*[?&]print=1.*"]
 _SQL_PATTERN = "|".join(f"(?:{p})" for p in PATTERNS)
 _CODES = "|".join(U.LANGUAGE_CODES)
 
 
+_DIGEST = "cast('0x' || substr(sha1({u}), 2 * i + 1, 2) as int)"
+
+
+def _hash_sql(u: str) -> str:
+    byte = _DIGEST.format(u=u)
+    x = f"(case when {byte} = 0 then 255 when {byte} > 127 then {byte} - 1 else {byte} end)"
+    return f"array_to_string(list_transform(range(20), lambda i: chr(cast(97 + {x} % 26 as int)) || substr('acegikmoqs', cast({x} // 26 + 1 as int), 1)), '')"
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -176,14 +187,25 @@ def take_ordered(spark, d):
     return _bag(spark, d, "orders", "o_orderkey").df.orderBy("value").limit(25)
 
 
+def _store(spark: SparkSession, d: str, **tables: tuple[str, str]) -> TableStore:
+    """A store with whole tables, keyed by a column each."""
+    store = TableStore(spark, scratch_path(spark, "store"))
+    for name, (table, key) in tables.items():
+        store.write(name, _t(spark, d, table).withColumnRenamed(key, "key"))
+    return store
+
+
 @query("select o_orderkey, o_orderstatus from orders where o_orderkey >= 1000 and o_orderkey < 4000")
 def range_scan(spark, d):
-    return _t(spark, d, "orders").where("o_orderkey >= 1000 and o_orderkey < 4000").select("o_orderkey", "o_orderstatus").orderBy("o_orderkey")
+    return _store(spark, d, orders=("orders", "o_orderkey")).scan("orders", 1000, 4000).select(F.col("key").alias("o_orderkey"), "o_orderstatus")
 
 
 @query("select c_custkey, c_name from customer where c_custkey >= 40 order by c_custkey limit 11")
 def keyset_page(spark, d):
-    return _t(spark, d, "customer").where("c_custkey >= 40").select("c_custkey", "c_name").orderBy("c_custkey").limit(11)
+    rows, following = _store(spark, d, customer=("customer", "c_custkey")).page("customer", 40, 10)
+    last = _t(spark, d, "customer").where(F.col("c_custkey") == F.lit(following)).select("c_custkey", "c_name")
+    page = spark.createDataFrame([(r["key"], r["c_name"]) for r in rows], "c_custkey long, c_name string")  # a page of ten
+    return page.unionByName(last)
 
 
 @query("select c_custkey, c_name from customer order by c_custkey limit 10 offset 20")
@@ -193,7 +215,106 @@ def offset_page(spark, d):
 
 @query("select c_custkey, c_name from customer where c_custkey = 77")
 def point_lookup(spark, d):
-    return _t(spark, d, "customer").where("c_custkey = 77").select("c_custkey", "c_name")
+    store = _store(spark, d, customer=("customer", "c_custkey"))
+    row, name = store.get_row("customer", 77), store.get("customer", 77, "c_name")
+    return spark.createDataFrame([(row["key"], name)] if row else [], "c_custkey long, c_name string")
+
+
+@query("select 'nation' as name, count(*) as n from nation union all select 'places', count(*) from region where r_regionkey not in (1, 2) union all select 'changed', 2 union all select 'gone', 0")
+def stored_tables(spark, d):
+    """Tables after puts, a rename and a deletion, with their rows; the changed rows that are found again."""
+    store = _store(spark, d, nation=("nation", "n_nationkey"), region=("region", "r_regionkey"), gone=("region", "r_regionkey"))
+    store.write("region", store.read("region").where("key not in (1, 2)"), replace=True)
+    puts = materialize(store.read("nation").where("key in (3, 4)").withColumn("n_name", F.lit("changed")), "puts")
+    store.put_rows("nation", puts)
+    store.rename("region", "places")
+    store.delete("gone")
+    changed = store.having("nation", puts.select("key")).count() if store.get("nation", 3, "n_name") == "changed" else -1
+    rows = [*store.overview(), ("changed", changed), ("gone", store.count("gone"))]
+    return spark.createDataFrame(rows, "name string, n long")
+
+
+@query("select value from (values ('a'), ('b'), ('b'), (''), ('z y')) t(value)")
+def parallelize(spark, d):
+    return Engine(spark).parallelize(["a", "b", "b", "", "z y"]).df
+
+
+@query("select '(' || left(n_name, 1) || ',' || substr(n_name, 2) || ')' as value from nation")
+def shown_pairs(spark, d):
+    return _bag(spark, d, "nation", "n_name").map_to_pair(lambda v: F.substring(v, 1, 1), lambda v: F.substring(v, F.lit(2), F.length(v))).shown()
+
+
+@query("select lower(p_name) as value from part where p_name is not null and p_size is not null and length(p_name) % 2 = 0")
+def python_functions(spark, d):
+    """Opaque Python functions as filter and flat map."""
+    names = Engine(spark).from_table(_t(spark, d, "part").where("p_size is not null"), F.col("p_name"))
+    return names.filter(lambda v: len(v) % 2 == 0, python=True).flat_map(lambda v: [v.lower()], python=True).df
+
+
+@query("select left(c_mktsegment, 1) as k, cast(sum(length(c_name)) as varchar) as v from customer where c_mktsegment is not null and c_name is not null group by 1")
+def python_fold_by_key(spark, d):
+    """Opaque Python functions as map to pair and fold by key."""
+    pairs = Engine(spark).pairs(_t(spark, d, "customer").where("c_mktsegment is not null and c_name is not null"), F.col("c_mktsegment"), F.col("c_name"))
+    return pairs.flat_map_to_pair(lambda k, v: [(k[0], str(len(v)))], python=True).fold_by_key("0", lambda acc, v: str(int(acc) + int(v)), python=True).df
+
+
+@query("select distinct trim(p_brand) as term from part where trim(p_brand) <> ''")
+def word_list(spark, d):
+    """A word list written as text and read again."""
+    path = scratch_path(spark, "words")
+    write_words(_t(spark, d, "part"), path, "p_brand")
+    return read_words(spark, path)
+
+
+@query("select n_name as page, length(n_name) as length from nation")
+def loaded_objects(spark, d):
+    """Text files loaded as objects."""
+    path = scratch_path(spark, "objects")
+    _t(spark, d, "nation").select("n_nationkey", "n_name").repartition(25, "n_nationkey").select(F.col("n_name").alias("value"), F.col("n_nationkey").alias("n")).write.partitionBy("n").option("lineSep", "\\u0001").text(path)
+    return load_objects(spark, path).select(F.regexp_replace("page", "\\\\u0001$|\u0001$", "").alias("page")).select("page", F.length("page").alias("length"))
+
+
+@query()
+def row_file_records(spark, d):
+    """Complete records of all row files: key, crawl id and page bytes."""
+    rows = read_rows(_t(spark, d, "crawl_files").select("body"))
+    return rows.select("key", F.element_at("cols", "crawlId").cast("string").cast("long").alias("crawl_id"), F.length(F.element_at("cols", "page")).alias("page_bytes"))
+
+
+@query("select host, len(rules) as n, list_transform(rules, lambda r: r.rule_type || '::' || r.prefix) as rules from hosts where rules is not null and len(list_filter(rules, lambda r: r.rule_type is null or r.prefix is null)) = 0")
+def unpacked_rules(spark, d):
+    """Robots rules packed into one field and unpacked again."""
+    known = _t(spark, d, "hosts").where("rules is not null and not exists(rules, r -> r.rule_type is null or r.prefix is null)")
+    back = known.select("host", U.unpack_rules(U.pack_rules(F.col("rules"))).alias("rules"))
+    return back.select("host", F.size("rules").alias("n"), F.transform("rules", lambda r: F.concat(r["rule_type"], F.lit("::"), r["prefix"])).alias("rules"))
+
+
+@query("select host, list_transform(coalesce(rules, []), lambda r: r.rule_type || ' ' || r.prefix) as rules from hosts where host is not null and len(list_filter(coalesce(rules, []), lambda r: r.rule_type is null or r.prefix is null)) = 0")
+def parsed_robots(spark, d):
+    """The rules of each host written as a robots file, and parsed."""
+    known = _t(spark, d, "hosts").where("host is not null and not exists(coalesce(rules, array()), r -> r.rule_type is null or r.prefix is null)")
+    lines = F.array_join(F.transform("rules", lambda r: F.concat(r["rule_type"], F.lit(": "), r["prefix"])), "\n")
+    text = F.concat(F.lit("User-agent: other\nDisallow: /\n\nUser-agent: us\nUser-agent: them\n"), F.coalesce(lines, F.lit("")))
+    return known.select("host", U.parse_robots(text, F.lit("us")).alias("p")).select("host", F.transform("p.rules", lambda r: F.concat(r["rule_type"], F.lit(" "), r["prefix"])).alias("rules"))
+
+
+@query("select crawl_id, unnest(regexp_extract_all(page, '<a href=\"([^\">]+)\">', 1)) as link from pt_crawl where page is not null")
+def raw_links(spark, d):
+    """Links as a crawl finds them, of anchors that have but a quoted href."""
+    pages = _t(spark, d, "pt_crawl").where("page is not null")
+    plain = F.array_join(F.regexp_extract_all("page", F.lit('<a href="[^">]+">'), F.lit(0)), "")
+    return pages.select("crawl_id", F.explode_outer(U.raw_links(plain)).alias("link")).where("link is not null")
+
+
+@query("select host, replace(replace(host, '_', '_5f'), '.', '_2e') as name, host as back from hosts where host is not null")
+def decoded_keys(spark, d):
+    named = _t(spark, d, "hosts").where("host is not null").select("host", encode_key(F.col("host")).alias("name"))
+    return named.select("host", "name", decode_key(F.col("name")).alias("back"))
+
+
+@query(f"select url, {_hash_sql('url')} as key from pt_crawl where url is not null and page is not null")
+def resharded(spark, d):
+    return J.reshard(_t(spark, d, "pt_crawl").where("url is not null and page is not null").select("url"), 16).select("url", "key")
 
 
 @query("select distinct url from pt_crawl where url is not null and url not in (select url from documents where url is not null)")
@@ -216,15 +337,6 @@ def stop_words_removed(spark, d):
     return words.where(~F.col("term").isin(T.STOP_WORDS)).distinct()
 
 
-_DIGEST = "cast('0x' || substr(sha1({u}), 2 * i + 1, 2) as int)"
-
-
-def _hash_sql(u: str) -> str:
-    byte = _DIGEST.format(u=u)
-    x = f"(case when {byte} = 0 then 255 when {byte} > 127 then {byte} - 1 else {byte} end)"
-    return f"array_to_string(list_transform(range(20), lambda i: chr(cast(97 + {x} % 26 as int)) || substr('acegikmoqs', cast({x} // 26 + 1 as int), 1)), '')"
-
-
 @query(f"select url, {_hash_sql('url')} as key from (select distinct url from pt_crawl where url is not null)")
 def url_hash(spark, d):
     return _t(spark, d, "pt_crawl").select("url").where("url is not null").distinct().select("url", row_key(F.col("url")).alias("key"))
@@ -251,8 +363,8 @@ _TARGETS = "targets as (select src, case when link similar to '(http|https)://.*
 
 @query(f"with {_LATEST}, {_LINKS}, {_TARGETS} select src, dst, count(*) as n from targets where not regexp_matches(regexp_extract(dst, '^[a-z]+://[^/]*([^?#]*)', 1), '[.](jpg|jpeg|png|gif|svg|css|js)$') group by src, dst")
 def resolved_links(spark, d):
-    pages = J.latest_pages(_t(spark, d, "pt_crawl"))
-    each = pages.select(F.col("page_key").alias("src"), "url", F.explode_outer(U.links(F.col("page"))).alias("link"))
+    pages = J.latest_pages(_t(spark, d, "pt_crawl"), links=U.links(F.col("page")))
+    each = pages.select(F.col("page_key").alias("src"), "url", F.explode_outer("links").alias("link"))
     return each.select("src", U.absolute(F.col("url"), F.col("link")).alias("dst")).where("dst is not null").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -291,12 +403,18 @@ def form_encoded_terms(spark, d):
     return _t(spark, d, "pt_idf").where("term is not null").select("term", U.form_encode(F.col("term")).alias("encoded"))
 
 
-@query()
+@query("select host, replace(replace(host, '_', '_5f'), '.', '_2e') as name from hosts")
 def encoded_keys(spark, d):
     return _t(spark, d, "hosts").select("host", encode_key(F.col("host")).alias("name"))
 
 
-@query()
+_FORM = "replace(replace(replace(url_encode({}), '%20', '+'), '%2A', '*'), '~', '%7E')"
+
+
+@query(
+    f"select url, case when contains(url, '?') then string_split(url, '?')[1] || '?' || replace(replace({_FORM.format("regexp_extract(url, '[?](.*)$', 1)")}, '%3D', '='), '%26', '&') "
+    f"else replace(replace({_FORM.format('url')}, '%3A', ':'), '%2F', '/') end as clean from pt_crawl where url is not null"
+)
 def sanitized_urls(spark, d):
     return _t(spark, d, "pt_crawl").where("url is not null").select("url", U.sanitize(F.col("url")).alias("clean"))
 
@@ -328,7 +446,7 @@ def tf_documents(spark, d):
 
 @query(f"with {_LATEST}, {_PAGE_COUNTS} select doc, term, round(count(*) / any_value(words), 9) as tf from t where term <> '' group by doc, term")
 def tf_pages(spark, d):
-    return J.term_frequency(J.latest_pages(_t(spark, d, "pt_crawl")), "page_key", "page").select("doc", "term", F.round("tf", 9).alias("tf"))
+    return J.page_term_frequency(_t(spark, d, "pt_crawl")).select("doc", "term", F.round("tf", 9).alias("tf"))
 
 
 def _doc_terms(spark, d):
@@ -354,8 +472,28 @@ def document_frequency(spark, d):
 
 @query(f"with {_LATEST}, p as (select distinct unnest({_tokens('page')}) as term, url from latest) select term, 0 as shard, string_agg(url, ',' order by url) as urls from p where term <> '' and term in (select term from pt_idf) group by term")
 def inverted_index(spark, d):
-    pages = J.latest_pages(_t(spark, d, "pt_crawl"))
-    return J.packed_index(J.postings(pages, "url", "page", _t(spark, d, "pt_idf").where("term is not null")))
+    return J.packed_index(J.page_postings(_t(spark, d, "pt_crawl"), _t(spark, d, "pt_idf").where("term is not null")))
+
+
+@query()
+def inverted_index_stemmed(spark, d):
+    """The index of stems, of those that are in the lexicon."""
+    lex = J.lexicon(_t(spark, d, "pt_idf").where("term is not null"), "term")
+    return J.packed_index(J.page_postings(_t(spark, d, "pt_crawl"), lex, stems=True))
+
+
+@query(f"with {_LATEST}, p as (select distinct unnest({_tokens('page')}) as term, url from latest), q as (select term, url from p where term <> '' and term in (select term from pt_idf)) select term, round(ln((select count(distinct url) from q) / (1 + count(*))), 9) as idf from q group by term")
+def idf_of_index(spark, d):
+    """Smoothed idf by the documents of the index."""
+    pairs = materialize(J.page_postings(_t(spark, d, "pt_crawl"), _t(spark, d, "pt_idf").where("term is not null")), "postings")
+    return J.index_idf(pairs).select("term", F.round("idf", 9).alias("idf"))
+
+
+@query(f"with {_LATEST}, p as (select distinct unnest({_tokens('page')}) as term, url from latest), q as (select term, url from p where term <> '' and term in (select term from pt_idf) union select p_brand, p_name from part) select term, 0 as shard, string_agg(url, ',' order by url) as urls from q group by term")
+def extended_index(spark, d):
+    """Pages indexed into an index that holds other lists already."""
+    held = J.packed_index(_t(spark, d, "part").select(F.col("p_brand").alias("term"), F.col("p_name").alias("url")).distinct())
+    return J.extend_index(held, J.page_postings(_t(spark, d, "pt_crawl"), _t(spark, d, "pt_idf").where("term is not null")))
 
 
 @query(
@@ -391,7 +529,7 @@ _STEP = "r{b} as (select l.page_key as id, 0.15 + 0.85 * coalesce(f.x, 0) as r f
 
 @query(f"with {_EDGES}, " + ", ".join(_STEP.format(a=i, b=i + 1) for i in range(5)) + " select id, round(r, 6) as rank from r5")
 def pagerank(spark, d):
-    pages = materialize(J.latest_pages(_t(spark, d, "pt_crawl")).select("page_key", "url", "page"), "pages")
+    pages = J.latest_links(_t(spark, d, "pt_crawl"))
     ranks = J.pagerank(J.link_edges(pages), pages.select(F.col("page_key").alias("id")), rounds=5)
     return ranks.select("id", F.round("rank", 6).alias("rank"))
 
@@ -411,9 +549,17 @@ def pagerank_trade(spark, d):
     return ranks.select("id", F.round("rank", 6).alias("rank"))
 
 
-@query()
+_ROUNDS = 16
+_CONVERGED = ", ".join(f"s{i} as (select {i} as n, a.id, a.r as rank, b.r as prev, max(abs(a.r - b.r)) over () as moved from r{i} a join r{i - 1} b using (id))" for i in range(1, _ROUNDS))
+
+
+@query(
+    f"with {_TRADE}, " + ", ".join(_STEP.format(a=i, b=i + 1).replace(" as (", " as materialized (", 1) for i in range(_ROUNDS - 1)) + f", {_CONVERGED}, every as (" + " union all ".join(f"select * from s{i}" for i in range(1, _ROUNDS)) + ") "
+    "select id, round(rank, 6) as rank, round(prev, 6) as prev from every where n = (select min(n) from every where moved <= 0.001)"
+)
 def pagerank_converged(spark, d):
-    return J.pagerank(_trade(spark, d), _t(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("id")), epsilon=0.001)
+    ranks = J.pagerank(_trade(spark, d), _t(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("id")), epsilon=0.001)
+    return ranks.select("id", F.round("rank", 6).alias("rank"), F.round("prev", 6).alias("prev"))
 
 
 @query("select round(avg(case when abs(rank - prev) <= 0.005 then 1.0 else 0.0 end), 9) as converged from pt_pageranks where rank is not null and prev is not null")
@@ -425,12 +571,15 @@ def convergence_ratio(spark, d):
 _ASKED = "Work, page; archive-ledger (work)?"
 
 
-def _found(spark, d):
-    words = spark.createDataFrame([(_ASKED,)], "q string").select(F.explode(T.query_words(F.col("q"))).alias("term"))
+def _statistics(spark, d):
     tf = _t(spark, d, "pt_tf").where("doc is not null and term is not null").groupBy("doc", "term").agg(F.max("value").alias("tf"))
     idf = _t(spark, d, "pt_idf").where("term is not null").groupBy("term").agg(F.max("idf").alias("idf"))
     ranks = _t(spark, d, "pt_pageranks").groupBy(F.col("page_key").alias("id")).agg(F.max(F.struct("computed_at", "rank")).alias("r")).select("id", F.col("r.rank").alias("rank"))
-    return J.search(words, tf, idf, ranks, n=20)
+    return tf, idf, ranks
+
+
+def _found(spark, d):
+    return J.search(J.query_terms(spark, _ASKED), *_statistics(spark, d), n=20)
 
 
 @query(
@@ -441,9 +590,40 @@ def search_topk(spark, d):
     return _found(spark, d).select("doc", F.round("score", 9).alias("score"))
 
 
+_HITS = (
+    "tf as (select doc, term, max(value) as tf from pt_tf where doc is not null and term in ('work', 'page', 'archive', 'ledger') group by doc, term), i as (select term, max(idf) as idf from pt_idf group by term), r as (select page_key, arg_max_null(rank, computed_at) as rank from pt_pageranks group by page_key)"
+)
+
+
+@query(
+    f"with {_LATEST}, p as (select distinct unnest({_tokens('page')}) as term, url from latest), h as (select term, url, {_hash_sql('url')} as doc from p where term in ('work', 'page', 'archive', 'ledger')), {_HITS}, "
+    "s as (select url, doc, sum(coalesce(tf, 0) * coalesce(idf, 0)) as x, count(*) as m from h left join tf using (doc, term) left join i using (term) group by url, doc) "
+    "select url, round(0.95 * x + 0.05 * m * coalesce(rank, 0), 9) as score from s left join r on doc = page_key order by 0.95 * x + 0.05 * m * coalesce(rank, 0) desc, url limit 20"
+)
+def search_from_index(spark, d):
+    """Ranked search that starts from the postings: what has no frequency, idf or rank counts 0."""
+    words = J.query_terms(spark, _ASKED)
+    best = J.search_index(words, J.page_postings(_t(spark, d, "pt_crawl"), words), *_statistics(spark, d), n=20)
+    return best.select("url", F.round("score", 9).alias("score"))
+
+
 @query()
+def search_stemmed(spark, d):
+    """Ranked search over stems: index, frequencies, idf and query are stemmed alike."""
+    crawl = _t(spark, d, "pt_crawl")
+    words = J.query_terms(spark, _ASKED, stems=True)
+    pairs = materialize(J.page_postings(crawl, stems=True), "postings")
+    tf = J.page_term_frequency(crawl, stems=True)
+    return J.search_index(words, pairs, tf, J.index_idf(pairs), _statistics(spark, d)[2], n=20).select("url", F.round("score", 9).alias("score"))
+
+
+@query(
+    f"with {_LATEST}, {_HITS}, s as (select doc, sum(0.95 * coalesce(tf, 0) * coalesce(idf, 0)) as x, count(*) as m from tf left join i using (term) group by doc), b as (select doc, x + 0.05 * m * coalesce(rank, 0) as score from s left join r on doc = page_key order by score desc, doc limit 20), "
+    "v as (select doc, score, coalesce(url, '') as url, coalesce(trim(substr(trim(regexp_replace(regexp_replace(page, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), 1, 100), ''), '') as preview from b left join latest on doc = page_key) "
+    "select cast(to_json(list({{'url': url, 'preview': preview}} order by score desc, doc)) as varchar) as json from v".replace("{{", "{").replace("}}", "}")
+)
 def search_json(spark, d):
-    return J.as_json(J.with_snippets(_found(spark, d), J.latest_pages(_t(spark, d, "pt_crawl"))))
+    return J.as_json(J.with_snippets(_found(spark, d), _t(spark, d, "pt_crawl")))
 
 
 @query("select url, host from (select url, host, row_number() over (partition by host order by url) as n from (select distinct url, host from pt_crawl where url is not null)) where n <= 3")
@@ -454,9 +634,16 @@ def host_cap(spark, d):
 
 @query()
 def frontier(spark, d):
-    pages = J.latest_pages(_t(spark, d, "pt_crawl"))
-    found = pages.select(F.explode_outer(U.links(F.col("page"))).alias("link"), "url").select(U.crawl_form(F.col("url"), F.col("link")).alias("url"))
-    return J.admit(found, _t(spark, d, "documents").select("url"), _t(spark, d, "hosts"), codes=U.LANGUAGE_CODES, patterns=PATTERNS)
+    return J.crawl_round(_t(spark, d, "pt_crawl"), _t(spark, d, "documents").select("url"), _t(spark, d, "hosts"), codes=U.LANGUAGE_CODES, patterns=PATTERNS)
+
+
+@query()
+def crawled(spark, d):
+    """A whole crawl of the stored pages from the urls of the hosts' first pages on, until the queue is empty."""
+    pages = materialize(J.latest_pages(_t(spark, d, "pt_crawl"), page=F.col("page")).withColumn("url", U.crawl_form(F.col("url"), F.col("url"))), "web")
+    seeds = pages.groupBy("host").agg(F.min("url").alias("url")).select("url")
+    fetch = lambda queue: pages.join(queue.select("url"), "url", "left_semi")
+    return J.crawl_all(fetch, seeds, _t(spark, d, "hosts"), cap=1 << 40).select("page_key", "url")
 
 
 @query("with new as (select o_custkey as key, max(o_orderpriority) as value from orders group by o_custkey) select key, value from new union all select c_custkey, c_name from customer where c_custkey not in (select key from new)")

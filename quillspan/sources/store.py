@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,9 @@ class TableStore:
 
     def exists(self, name: str) -> bool:
         fs, p = hadoop_fs(self.spark, self._path(name))
+        old = hadoop_fs(self.spark, f"{self.root}/_old-{name}")[1]
+        if not fs.exists(p) and fs.exists(old):
+            fs.rename(old, p)
         return fs.exists(p)
 
     def tables(self) -> list[str]:
@@ -33,16 +37,21 @@ class TableStore:
         return sorted(s.getPath().getName() for s in fs.listStatus(p) if not s.getPath().getName().startswith((".", "_"))) if fs.exists(p) else []
 
     def write(self, name: str, df: DataFrame, replace: bool = False) -> None:
-        """The table appears whole, by a rename. An existing one is an error unless replaced."""
+        """The table appears whole, by a rename. An existing one is an error unless replaced; it is set aside until the
+        new one stands, and a replacement that broke off between the two is mended by the next use."""
         if self.exists(name) and not replace:
             raise FileExistsError(name)
-        stage = f"{self.root}/_{uuid.uuid4().hex}"
+        stage, aside = f"{self.root}/_{uuid.uuid4().hex}", f"{self.root}/_old-{name}"
         df.repartitionByRange("key").sortWithinPartitions("key").write.parquet(stage)
         fs, to = hadoop_fs(self.spark, self._path(name))
+        old = hadoop_fs(self.spark, aside)[1]
         if fs.exists(to):
-            fs.delete(to, True)
+            fs.delete(old, True)
+            if not fs.rename(to, old):
+                raise OSError(f"could not set {name} aside")
         if not fs.rename(hadoop_fs(self.spark, stage)[1], to):
             raise OSError(f"could not publish {name}")
+        fs.delete(old, True)
 
     def read(self, name: str, schema: str | None = None) -> DataFrame:
         if not self.exists(name) and schema:
@@ -98,4 +107,10 @@ class TableStore:
         return got[:size], got[size]["key"] if len(got) > size else None
 
     def overview(self) -> list[tuple[str, int]]:
-        return [(t, self.count(t)) for t in self.tables()]
+        """Each table and its rows, counted in one job from the files' footers."""
+        names = self.tables()
+        if not names:
+            return []
+        counts = [self.read(t).select(F.lit(t).alias("t")) for t in names]
+        held = {r["t"]: r["count"] for r in reduce(lambda a, b: a.unionByName(b), counts).groupBy("t").count().collect()}
+        return [(t, held.get(t, 0)) for t in names]

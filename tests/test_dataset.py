@@ -87,3 +87,35 @@ def test_store(spark, tmp_path):
     assert s.overview() == [("u", 0), ("w", 26)] and s.delete("u") and not s.delete("u") and s.tables() == ["w"]
     with pytest.raises(ValueError):
         s.read("../x")
+
+
+def test_opaque_functions(spark):
+    e = Engine(spark)
+    bag = e.parallelize(["apple", "fig", "kiwi", "fig"])
+    assert sorted(bag.filter(lambda v: len(v) < 5, python=True).collect()) == ["fig", "fig", "kiwi"]
+    pairs = bag.map_to_pair(lambda v: v[0] if v != "kiwi" else None, lambda v: v[1:], python=True)
+    assert sorted(pairs.collect()) == [("a", "pple"), ("f", "ig"), ("f", "ig")]
+    assert sorted(pairs.fold_by_key("0", lambda acc, v: str(int(acc) + len(v)), python=True).collect()) == [("a", "4"), ("f", "4")]
+    assert sorted(pairs.flat_map(lambda k, v: [k, v] if k == "a" else None, python=True).collect()) == ["a", "pple"]
+    assert sorted(pairs.flat_map_to_pair(lambda k, v: [(v, k)], python=True).collect()) == [("ig", "f"), ("ig", "f"), ("pple", "a")]
+    assert sorted(bag.group_by(lambda v: str(len(v)), python=True).collect()) == [("3", "fig,fig"), ("4", "kiwi"), ("5", "apple")]
+    assert bag.fold("", lambda acc, v: acc + v[0], python=True).first()["value"] == "affk"
+    assert e.parallelize([]).filter(lambda v: True, python=True).collect() == []
+
+
+def test_repeated_puts_and_changes(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "key int, v string")
+    new = spark.createDataFrame([(2, "x"), (2, "y"), (3, "z"), (3, "z")], "key int, v string")
+    assert sorted(map(tuple, put_rows(old, new, "key").collect())) == [(1, "a"), (2, "y"), (3, "z")]
+    changes = spark.createDataFrame([(1, "a", "p", 2), (1, "q", "r", 1), (2, "no", "s", 1)], "key int, expected string, value string, seq long")
+    assert sorted((r["key"], r["v"], r["applied"]) for r in compare_and_set(old, changes, "key", "v").collect()) == [(1, "p", True), (2, "b", False)]
+
+
+def test_a_replacement_that_broke_off_is_mended(spark, tmp_path):
+    s = TableStore(spark, f"file://{tmp_path}")
+    s.write("t", spark.createDataFrame([("a", 1)], "key string, v int"))
+    (tmp_path / "t").rename(tmp_path / "_old-t")
+    assert s.count("t") == 1 and s.tables() == ["t"]
+    s.write("t", spark.createDataFrame([("a", 2)], "key string, v int"), replace=True)
+    assert s.get("t", "a", "v") == 2 and not (tmp_path / "_old-t").exists()
+    assert s.overview() == [("t", 1)]

@@ -109,3 +109,27 @@ def test_robots(spark):
     ok = lambda path: rules.select(U.allowed(F.lit(path), F.col("r"))).first()[0]
     assert ok("/a/b") and not ok("/b")
     assert spark.range(1).select(U.allowed(F.lit("/"), F.lit(None).cast("array<struct<rule_type:string,prefix:string>>"))).first()[0]
+
+
+@pytest.mark.parametrize(
+    "text,agent,rules,delay",
+    [
+        ("User-agent: a\nUser-agent: b\nDisallow: /x # no\n\nUser-agent: *\nDisallow: /", "a", [("disallow", "/x")], None),
+        ("user-agent: B\nAllow: /y\nCrawl-delay: 2.5\nCrawl-delay: soon", "b", [("allow", "/y")], 2.5),
+        ("User-agent: a\nAllow: /1\nUser-agent: c\nAllow: /2\nUser-agent: a\nAllow: /3", "a", [("allow", "/1"), ("allow", "/3")], None),
+        ("Disallow: /early\nUser-agent: *\nDisallow:\nSitemap: http://x", "a", [("disallow", "")], None),
+        ("# nothing\nno field", "a", [], None),
+        (None, None, [], None),
+    ],
+)
+def test_robots_groups(spark, text, agent, rules, delay):
+    df = spark.createDataFrame([(text, agent)], "t string, a string").select(U.parse_robots(F.col("t"), F.col("a")).alias("p"))
+    got = df.first()["p"]
+    assert ([tuple(r) for r in got["rules"]], got["crawl_delay"]) == (rules, delay)
+
+
+def test_language_of_hosts_and_regions(spark):
+    urls = ["http://french.news.test/", "https://pt-br.shop.test:80/x", "http://news.test/french", "http://french.test/"]
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    assert [r[0] for r in df.select(U.language_host(F.col("u"), ["french", "pt-br"])).collect()] == [True, True, False, False]
+    assert [r[0] for r in spark.createDataFrame([("http://a.test/pt-br/x",), ("http://a.test/x?lang=pt-br",), ("http://a.test/ptbr/",)], "u string").select(U.language_marked(F.col("u"), ["pt-br"])).collect()] == [True, True, False]

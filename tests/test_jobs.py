@@ -58,3 +58,77 @@ def test_admit(spark):
     hosts = spark.createDataFrame([("h.test", [("disallow", "/no")], 1), ("g.test", [("allow", "/yes")], None)], "host string, rules array<struct<rule_type:string,prefix:string>>, url_count int")
     got = {r["url"] for r in J.admit(found, seen, hosts, cap=4, codes=["de"], patterns=[r".*\.pdf$"]).collect()}
     assert got == {"http://h.test:80/p0", "http://h.test:80/p1", "http://h.test:80/p2", "http://g.test:80/yes.pdf"}
+
+
+def crawl(spark):
+    rows = [("k1", "http://a.test:80/", "a.test", "<a href='/b'>B</a> Running dogs", 1), ("k1", "http://a.test:80/", "a.test", "<a href=/c#x>C</a> cats <a href='/b'>B</a> cat", 2), ("k2", "http://a.test:80/b", "a.test", "<a href='/'>home</a> a runner runs", 1), ("k2", "http://a.test:80/b", "a.test", "<a href='/'>home</a> a runner runs", 1), ("k3", "http://a.test:80/c", "a.test", "", 1)]
+    return spark.createDataFrame(rows, "page_key string, url string, host string, page string, crawl_id long")
+
+
+@pytest.mark.parametrize("make", [lambda c: J.page_term_frequency(c), lambda c: J.page_postings(c), lambda c: J.latest_pages(c, links=F.col("page").substr(1, 3)), lambda c: J.crawl_round(c, c.select("url").limit(0), c.sparkSession.createDataFrame([], "host string, rules array<struct<rule_type:string,prefix:string>>, url_count int"))])
+def test_no_page_is_moved(spark, tmp_path, make):
+    crawl(spark).write.parquet(f"{tmp_path}/c")
+    df = make(spark.read.parquet(f"{tmp_path}/c"))
+    plan = df._jdf.queryExecution().executedPlan()
+    seen = []
+
+    def walk(node):
+        if "Exchange" in node.nodeName():
+            out = node.child().output()
+            seen.extend(out.apply(i).name() for i in range(out.size()))
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+        if node.nodeName() == "AdaptiveSparkPlan":
+            walk(node.initialPlan())
+
+    walk(plan)
+    assert seen and "page" not in seen
+
+
+def test_pages_by_their_last_fetch(spark):
+    tf = {(r["doc"], r["term"]): r["tf"] for r in J.page_term_frequency(crawl(spark)).collect()}
+    assert {t for d, t in tf if d == "k1"} == {"c", "cats", "b", "cat"} and tf["k2", "runner"] == pytest.approx(1 / 5)
+    assert {tuple(r) for r in J.page_postings(crawl(spark), stems=True).where("term in ('cat', 'run', 'runner')").collect()} == {("cat", "http://a.test:80/"), ("runner", "http://a.test:80/b"), ("run", "http://a.test:80/b")}
+    lex = spark.createDataFrame([("cat",), ("cat",)], "term string")
+    assert [tuple(r) for r in J.page_postings(crawl(spark), lex, stems=True).collect()] == [("cat", "http://a.test:80/")]
+
+
+def test_search_from_the_index(spark):
+    pairs = J.page_postings(crawl(spark), stems=True)
+    words = J.query_terms(spark, "Cats, running?", stems=True)
+    assert {r["term"] for r in words.collect()} == {"cat", "run"}
+    from quillspan.functions.hashing import row_key
+
+    keyed = crawl(spark).withColumn("page_key", row_key(F.col("url")))
+    tf, idf = J.page_term_frequency(keyed, stems=True), J.index_idf(pairs)
+    assert J.index_documents(pairs) == 2 and {r["term"]: round(r["idf"], 9) for r in idf.where("term in ('cat', 'home')").collect()} == {"cat": 0.0, "home": 0.0}
+    ranks = keyed.where("url like '%/b'").select(F.col("page_key").alias("id"), F.lit(3.0).alias("rank")).distinct()
+    best = [(r["url"], round(r["score"], 9)) for r in J.search_index(words, pairs, tf, idf, ranks).collect()]
+    # A posting without a frequency counts with its rank alone.
+    assert best == [("http://a.test:80/b", 0.15), ("http://a.test:80/", 0.0)]
+    assert [(r["url"], round(r["score"], 9)) for r in J.search_index(words, pairs, tf.limit(0), idf.limit(0), ranks).collect()] == best
+
+
+def test_ranks_that_do_not_converge_raise(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "c")], "src string, dst string")
+    with pytest.raises(RuntimeError):
+        J.pagerank(e, e.select(F.col("src").alias("id")), epsilon=1e-12, most_rounds=2)
+
+
+def test_indexes_are_merged_by_shard_and_extended(spark):
+    a = spark.createDataFrame([("x", 0, "1"), ("x", 1, "2")], "term string, shard int, urls string")
+    b = spark.createDataFrame([("x", 1, "3"), ("y", 0, "4")], "term string, shard int, urls string")
+    assert {tuple(r) for r in J.merge_index(a, b).collect()} == {("x", 0, "1"), ("x", 1, "2,3"), ("y", 0, "4")}
+    more = J.extend_index(a, spark.createDataFrame([("x", "2"), ("x", "5"), ("z", "6")], "term string, url string"))
+    assert {tuple(r) for r in more.collect()} == {("x", 0, "1,2,5"), ("z", 0, "6")}
+
+
+def test_a_crawl_goes_on_until_no_url_is_left(spark):
+    web = {"/": "<a href='/b'>x</a> <a href=/c#top>y</a>", "/b": "<a href='/'>x</a>", "/c": "<A HREF=\"/d\">z</a>", "/d": "<a href='/no/e'>z</a>", "/no/e": "", "/apart": ""}
+    pages = spark.createDataFrame([(f"k{p}", f"http://a.test:80{p}", "a.test", t, 1) for p, t in web.items()], "page_key string, url string, host string, page string, crawl_id long")
+    seeds = spark.createDataFrame([("http://a.test:80/",), (None,)], "url string")
+    hosts = spark.createDataFrame([("a.test", [("disallow", "/no")], 0)], "host string, rules array<struct<rule_type:string,prefix:string>>, url_count int")
+    fetch = lambda queue: pages.join(queue.select("url"), "url", "left_semi")
+    assert {r["url"][16:] for r in J.crawl_all(fetch, seeds, hosts).collect()} == {"/", "/b", "/c", "/d"}
+    assert J.crawl_all(fetch, seeds, hosts, cap=2).count() == 2
+    assert J.crawl_all(fetch, seeds.limit(0), hosts).count() == 0
