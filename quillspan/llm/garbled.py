@@ -270,11 +270,18 @@ def suspect(text: str) -> bool:
     return False
 
 
+#: Characters as which the first bytes of Japanese signs (three) and of Cyrillic letters (one) are shown.
+_LEADS = {e: ([c for c, b in _BYTES[e].items() if b in (0x81, 0x82, 0x83)], next(c for c, b in _BYTES[e].items() if b == 0x84)) for e in ("cp1252", "mac_roman", "latin-1")}
+_NON_ASCII = re.compile(r"[^\x00-\x7f]")
+
+
 def _as_shift_jis(line: str) -> str | None:
     """A line of Japanese shown as Western text; blanks and ASCII stay."""
-    if len(re.findall(r"[^\x00-\x7f]", line)) < 4:
+    if line.isascii() or len(_NON_ASCII.findall(line)) < 4:
         return None
-    for shown in ("cp1252", "mac_roman", "latin-1"):
+    for shown, (signs, cyrillic) in _LEADS.items():
+        if line.count(cyrillic) < 6 and sum(map(line.count, signs)) < 2:  # too few to pass below
+            continue
         r = _re_read(line, shown, "cp932")
         if not r or re.search("[｡-ﾟ\x80-\x9f]", r):
             continue
