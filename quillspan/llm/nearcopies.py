@@ -414,9 +414,10 @@ def similar_pairs(df: DataFrame, key: str, text: str, **options) -> DataFrame:
     pairs = materialize(pairs, "similar")
     a, b = members.select(F.col("id").alias("x"), F.col("member").alias("a")), members.select(F.col("id").alias("y"), F.col("member").alias("b"))
     across = pairs.select("a", "b").join(a, "a").join(b, "b").where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    # Copies of one text are paired in blocks, as the members of a part are.
     same = members.groupBy("member").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("member")
-    copies = members.join(same, "member")
-    within = copies.select("member", F.col("id").alias("id_a")).join(copies.select("member", F.col("id").alias("id_b")), "member").where("id_a < id_b").select("id_a", "id_b")
+    within = pairs_of_keys(members.join(same, "member").select(F.col("member").alias("key"), F.col("id").alias("member")), options.get("block", BLOCK))
+    within = within.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
     both = across.unionByName(within)
     return both.distinct()
 

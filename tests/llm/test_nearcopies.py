@@ -56,6 +56,14 @@ def test_a_hot_group_is_paired_in_blocks(spark):
     assert got == {(a, b) for a in range(57) for b in range(a + 1, 57)}
 
 
+def test_many_copies_of_one_text(spark):
+    df = spark.createDataFrame([(i, "one text of more than five words here") for i in range(70)] + [(99, "another text of more than five words")], "id long, text string").repartition(6)
+    got = [tuple(r) for r in similar_pairs(df, "id", "text", block=16).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in range(70) for b in range(a + 1, 70)}
+    classes = {(r["class_id"], r["links"]) for r in similar_classes(df, "id", "text").collect()}
+    assert classes == {(0, 0), (99, 0)}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "id long, text string")
     assert similar_pairs(df, "id", "text").count() == 0
