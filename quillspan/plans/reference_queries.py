@@ -489,10 +489,10 @@ def idf_of_index(spark, d):
     return J.index_idf(pairs).select("term", F.round("idf", 9).alias("idf"))
 
 
-@query(f"with {_LATEST}, p as (select distinct unnest({_tokens('page')}) as term, url from latest), q as (select term, url from p where term <> '' and term in (select term from pt_idf) union select p_brand, p_name from part) select term, 0 as shard, string_agg(url, ',' order by url) as urls from q group by term")
+@query(f"with {_LATEST}, p as (select distinct unnest({_tokens('page')}) as term, url from latest), q as (select term, url from p where term <> '' and term in (select term from pt_idf) union select host, 'http://seed.test:80/' from hosts where host is not null) select term, 0 as shard, string_agg(url, ',' order by url) as urls from q group by term")
 def extended_index(spark, d):
     """Pages indexed into an index that holds other lists already."""
-    held = J.packed_index(_t(spark, d, "part").select(F.col("p_brand").alias("term"), F.col("p_name").alias("url")).distinct())
+    held = J.packed_index(_t(spark, d, "hosts").where("host is not null").select(F.col("host").alias("term"), F.lit("http://seed.test:80/").alias("url")).distinct())
     return J.extend_index(held, J.page_postings(_t(spark, d, "pt_crawl"), _t(spark, d, "pt_idf").where("term is not null")))
 
 

@@ -20,6 +20,8 @@ def build_session(master: str | None = None, app: str = "quillspan", **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Long texts: a batch that goes to Python is bounded in bytes, not in rows alone.
+        "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
