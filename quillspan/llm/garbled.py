@@ -16,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -203,9 +204,10 @@ def _places(word: str) -> list[tuple[str, str]]:
     return out
 
 
-def contexts(word: str) -> list[str]:
+@lru_cache(maxsize=KEPT_WORDS)
+def contexts(word: str) -> tuple[str, ...]:
     """What is counted of a word: the places of its characters."""
-    return [p for both in _places(word) for p in both if p]
+    return tuple(p for both in _places(word) for p in both if p)
 
 
 #: Characters to those of the same bytes' numbers; what an encoding lacks becomes one that is no byte.
