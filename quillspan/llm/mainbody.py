@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.layout import CUT, Block, Layout, blocks_of, render
+from quillspan.llm.nearcopies import components
+from quillspan.operators.joins import BROADCAST_ROWS
 from quillspan.session import materialize, release
 
 #: A line is furniture if it stands around at least this share of all different bodies.
 FURNITURE_SHARE = 0.01
-#: Lines of this share of it in rows are held against bodies.
+#: Lines of this share of it in rows are common: known to every task, and no part of the texts that are measured.
 COMMON_SHARE = 0.1
 #: Lines of so many words tell a page's body.
 BODY_WORDS = 8
@@ -56,11 +58,10 @@ _SENTENCE_END = re.compile(r"[.!?…;。！？](?=[\s”“\"’»)\]]|$)")
 _SENTENCE = re.compile(r"[.!?…;。！？]+[”“\"’»)\]]*(?:\s+|$)")
 _WHOLE_SENTENCE = re.compile(r"[.!?…;。！？][”“\"’»)]*$")
 _NAME = re.compile(r"\b(?=([A-ZÀ-Þ][\w'-]*)( [A-ZÀ-Þ][\w'-]*)?)")
-_DIGIT = re.compile(r"\d")
 #: Forms of longer lines are kept as their ends and a hash.
 LONG_LINE = 240
 _SEPARATED = re.compile(r"\s*(?:[>»·|•]|&gt;|\s[–—/-]\s)\s*|\s{2,}")
-_WITH_DIGIT = re.compile(r"\b[^\W\d]*\d\w*")
+_FROM_DIGIT = re.compile(r"\d\w*")
 _WORDS = re.compile(r"[^\W\d_]+")
 #: Frequent words by which a text's language is told.
 _FREQUENT = {
@@ -163,7 +164,7 @@ class Corpus:
         """Whether ``line`` is furniture but for one name: pages are copied from site to site."""
         if " ".join(line.split(None, 3)[:3]) not in self.ends and " ".join(line.rsplit(None, 3)[-3:]) not in self.ends:
             return False
-        line = _WITH_DIGIT.sub("0", line)
+        line = _masked(line)
         return any(n and _key(line.replace(n, "0")) in self.furniture for a, b in _NAME.findall(line) for n in (a, b and a + b))
 
 
@@ -177,12 +178,24 @@ def site_names(host: str | None, title: str) -> list[str]:
     return sorted(out, key=len, reverse=True)
 
 
+def _masked(line: str) -> str:
+    """``line`` with 0 for each word that has a digit (sought from the digit, as few words have one)."""
+    out, at = [], 0
+    for m in _FROM_DIGIT.finditer(line):
+        start = m.start()
+        while start > at and (line[start - 1].isalnum() or line[start - 1] == "_"):
+            start -= 1
+        out.append(line[at:start])
+        at = m.end()
+    return "0".join([*out, line[at:]]) if at else line
+
+
 def line_form(line: str, names: list[str]) -> str:
     """A line without what varies by site or number (numbers of short lines stay: table cells)."""
     for n in names:
         if n in line:
             line = line.replace(n, "0")
-    return _WITH_DIGIT.sub("0", line) if line.count(" ") > 2 and _DIGIT.search(line) else line
+    return _masked(line) if line.count(" ") > 2 else line
 
 
 _TITLE = re.compile(r"<title\b[^>]*>([^<]*)", re.I)
@@ -205,135 +218,196 @@ def _page_names(page: str, host: str | None) -> list[str]:
     return site_names(host, html.unescape(t.group(1)).strip() if t else "")
 
 
-def line_counts(pages: DataFrame, least_share: float = FURNITURE_SHARE) -> DataFrame:
-    """(line, n): rows per line form. Only tells which lines are held against bodies, where all rows are counted.
+def _line_id(key: str) -> int:
+    """A signed 64-bit name of a line's key."""
+    return xxhash.xxh3_64_intdigest(key) - (1 << 63)
 
-    Each task drops lines that fewer than a tenth of ``least_share`` of its pages show: what they
-    add to a line's share of all pages is below that. So a task keeps and sends a bounded number, and every
-    line of a fifth of ``least_share`` or more is among the counted ones however the rows are dealt out.
-    """
+
+def _visible_lines(page: str, host: str | None) -> dict[int, tuple[str, str]]:
+    """By its id, the key and the text of each different line of a page, in order."""
+    names = _page_names(page, host)
+    keys = {_form_of(s, names): s for x in CUT.split(_CODE.sub("<", page)) if (s := x.strip())}
+    return {_line_id(k): (k, s) for k, s in keys.items()}
+
+
+def _body_words(words: list[int]) -> list[int]:
+    """The words of the lines that tell a page's body, those of BODY_WORDS or more (all, where it has none); 0 for others."""
+    return [w if w >= BODY_WORDS else 0 for w in words] if max(words, default=0) >= BODY_WORDS else words
+
+
+def page_lines(pages: DataFrame) -> DataFrame:
+    """(page_no, lines, words) of each page that is not empty: ids of its different lines, and their words if they tell its body."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines: Counter[str] = Counter()
-        seen = 0
         for b in batches:
+            lines: list[list[int]] = []
+            words: list[list[int]] = []
             for host, page in zip(b.column(0), b.column(1), strict=True):
                 page = page.as_py()
-                if not page:
-                    continue
-                seen += 1
-                names = _page_names(page, host.as_py())
-                lines.update({_form_of(s, names) for x in CUT.split(page) if (s := x.strip())})
-                if len(lines) > 400_000:
-                    floor = max(1, seen * least_share / 10)
-                    lines = Counter({k: n for k, n in lines.items() if n > floor})
-        kept = [(k, n) for k, n in lines.items() if n > seen * least_share / 10]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["line", "n"])
-
-    return pages.select("host", "page").mapInArrow(run, "line string, n long").groupBy("line").agg(F.sum("n").alias("n"))
-
-
-def body_votes(pages: DataFrame, common: dict[str, tuple[int, int]]) -> DataFrame:
-    """(kind, i, j, n, language, ratio) rows of all pages, for ``common`` lines (their number and how many rows show them).
-
-    A page's body is told by its lines of BODY_WORDS words or more (all, where it has none). If at least half
-    of it is in no common line, the page has a body of its own: kind "page" counts these, "own" their
-    common lines i. Else it is a copy of something: "seen" counts its common body lines i, "next"
-    those that follow one another (i < j), and "shown" any common line i with j, the one in the middle of
-    the page's body lines by how common they are. These counts are partial, per task. Kind "text" tells of
-    each body of its own the language, the length class i, the compression ratio, and in n its hash.
+                if page:
+                    shown = _visible_lines(page, host.as_py())
+                    lines.append(list(shown))
+                    words.append(_body_words([s.count(" ") + 1 for _, s in shown.values()]))
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))], names=["lines", "words"])
+
+    return pages.select("host", "page").mapInArrow(run, "lines array<long>, words array<int>").select(F.monotonically_increasing_id().alias("page_no"), "lines", "words")
+
+
+def line_counts(lines: DataFrame) -> DataFrame:
+    """(line, n): rows per line of ``page_lines``, of every line that more than one shows."""
+    return lines.select(F.explode("lines").alias("line")).groupBy("line").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def body_votes(lines: DataFrame, counts: DataFrame, common: dict[int, int], least: float) -> DataFrame:
+    """(kind, i, j, n) of all pages, from ``page_lines`` and ``line_counts``; ``common`` are the counts from ``least`` on.
+
+    If at least half of a page's body is in lines that no other row shows, the page has a body of its own:
+    kind "page" counts these, "own" their repeated lines i. Else it is a copy of something: "seen"
+    counts its repeated body lines i, "next" those that follow one another (i < j), and "shown" any repeated
+    line i with j, the one in the middle of the page's body lines by how common they are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         votes: Counter[tuple[str, int, int]] = Counter()
-        texts: list[tuple[int, int, str, float]] = []
+        many = np.array([*common, *common.values()], np.int64).reshape(2, -1)
+        for b in batches:
+            lines, words, few = (b.column(c).flatten() for c in range(3))
+            lines, words = lines.to_numpy(), words.to_numpy()
+            repeated = np.concatenate([many, [few.field("line").to_numpy(), few.field("n").to_numpy()], [[(1 << 63) - 1], [0]]], axis=1)
+            repeated = repeated[:, np.argsort(repeated[0], kind="stable")]
+            at = np.searchsorted(repeated[0], lines)
+            rows = np.where(repeated[0][at] == lines, repeated[1][at], 0)
+            sizes = b.column(0).value_lengths().to_numpy()
+            page = np.repeat(np.arange(len(sizes)), sizes)
+            body, alone = (np.bincount(page, w, len(sizes)) for w in (words, words * (rows == 0)))
+            own = 2 * alone >= body
+            votes["page", 0, 0] += int(own.sum())
+            ids, n = np.unique(lines[own[page] & (rows > 0)], return_counts=True)
+            votes.update({("own", i, 0): k for i, k in zip(ids.tolist(), n.tolist(), strict=True)})
+            ends = np.cumsum(sizes)
+            for k in np.flatnonzero(~own):
+                known = [x for x in zip(*(v[ends[k] - sizes[k] : ends[k]].tolist() for v in (rows, lines, words)), strict=True) if x[0]]
+                told = [(n, i) for n, i, w in known if w]
+                usual = sorted(told)[len(told) // 2][1]  # neither a notice nor an edit
+                votes.update(("seen", i, 0) for _, i in told)
+                votes.update(("next", min(p, q), max(p, q)) for (_, p), (_, q) in zip(told, told[1:], strict=False))
+                votes.update(("shown", i, usual) for _, i, _ in known)
+            if len(votes) > 400_000:
+                yield out(votes)
+                votes = Counter()
+        yield out(votes)
+
+    def out(votes: Counter[tuple[str, int, int]]) -> pa.RecordBatch:
+        kinds = [pa.string(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([*(pa.array([k[c] for k in votes], t) for c, t in enumerate(kinds)), pa.array(votes.values(), pa.int64())], names=["kind", "i", "j", "n"])
+
+    # Lines of many rows are known to each task, so that a join meets only those of few.
+    single = lines.select("page_no", F.explode("lines").alias("line")).join(F.broadcast(counts.where(F.col("n") >= least)), "line", "left_anti")
+    few = single.join(counts.where(F.col("n") < least), "line").groupBy("page_no").agg(F.collect_list(F.struct("line", "n")).alias("few"))
+    told = lines.join(few, "page_no", "left").select("lines", "words", "few").mapInArrow(run, "kind string, i long, j long, n long")
+    return told.groupBy("kind", "i", "j").agg(F.sum("n").alias("n"))
+
+
+def bodies_of(edges: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """(node, root) of the nodes of (a, b) edges: one root for each connected component, found on the driver for up to ``limit`` edges."""
+    edges = materialize(edges.select("a", "b"), "follow")
+    if edges.count() > limit:
+        roots = components(edges.select(F.col("a").alias("node")).union(edges.select("b")), edges)
+        release(edges)
+        return roots
+    up: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        while up.setdefault(i, i) != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for a, b in edges.collect():
+        up[root(a)] = root(b)
+    release(edges)
+    return F.broadcast(edges.sparkSession.createDataFrame([(i, root(i)) for i in list(up)], "node long, root long"))
+
+
+def around_bodies(votes: DataFrame, common: DataFrame) -> tuple[DataFrame, int]:
+    """(line, n), how many different bodies each repeated line stands with, and how many there are.
+
+    Body lines of copies that follow one another at least half the time belong to one body, also where
+    single lines are edited or moved; a notice follows many bodies, so it joins none.
+    """
+    seen = votes.where("kind = 'seen'").select(F.col("i").alias("node"), F.col("n").alias("seen"))
+    edges = votes.where("kind = 'next'").select(F.col("i").alias("a"), F.col("j").alias("b"), "n")
+    # Of a line of many rows at most four edges are left by the first round; other lines have few rows.
+    many = seen.join(F.broadcast(common.select(F.col("line").alias("node"))), "node", "left_semi")
+    for table, how in ((F.broadcast(many), "left"), (seen, "inner")):
+        for end in ("a", "b"):
+            edges = edges.join(table.withColumnRenamed("node", end), end, how).where("seen is null or 2 * n >= seen").drop("seen")
+    shown = votes.where("kind = 'shown'").select(F.col("i").alias("line"), F.col("j").alias("node"))
+    copies = materialize(shown.join(bodies_of(edges), "node", "left").select("line", F.coalesce("root", "node").alias("root")).distinct(), "copies")
+    own = votes.where("kind = 'own'").select(F.col("i").alias("line"), "n")
+    around = own.union(copies.select("line", F.lit(1).cast("long"))).groupBy("line").agg(F.sum("n").alias("n"))
+    around = materialize(around, "around")
+    pages = votes.where("kind = 'page'").agg(F.sum("n")).first()[0] or 0
+    bodies = pages + copies.select("root").distinct().count()
+    release(copies)
+    return around, bodies
+
+
+def body_texts(pages: DataFrame, common: frozenset[int], furniture: frozenset[int]) -> DataFrame:
+    """(language, length, text, ratio) of each body that is mostly in no ``common`` line, ``text`` being its hash; and
+    (line) rows with the keys of ``furniture``, once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, str] = {}
         for b in batches:
+            texts: list[tuple[str, int, int, float]] = []
             for host, page in zip(b.column(0), b.column(1), strict=True):
                 page = page.as_py()
                 if not page:
                     continue
-                names = _page_names(page, host.as_py())
-                forms = {_form_of(s, names): s for x in CUT.split(_CODE.sub("<", page)) if (s := x.strip())}
-                known = [(common.get(f), s.count(" ") + 1) for f, s in forms.items()]
-                body = [x for x in known if x[1] >= BODY_WORDS] or known
-                lines = {k[0] for k, _ in known if k}
-                if 2 * sum(w for k, w in body if not k) >= sum(w for _, w in body):
-                    votes["page", -1, -1] += 1
-                    votes.update(("own", i, -1) for i in lines)
-                    text = "\n".join(s for s, (k, w) in zip(forms.values(), known, strict=True) if not k and w >= BODY_WORDS)
-                    if text:
-                        length, ratio = measure(text)
-                        texts.append((length, xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) >> 1, language_of(text), ratio))
+                shown = _visible_lines(page, host.as_py())
+                found |= {i: shown[i][0] for i in shown.keys() & furniture}
+                words = [s.count(" ") + 1 for _, s in shown.values()]
+                body = _body_words(words)
+                if 2 * sum(w for i, w in zip(shown, body, strict=True) if i not in common) < sum(body):
                     continue
-                told = list(dict.fromkeys(k for k, _ in body if k))
-                usual = sorted(told, key=lambda k: (k[1], k[0]))[len(told) // 2][0]  # neither a notice nor an edit
-                votes.update(("seen", i, -1) for i, _ in told)
-                votes.update({("next", min(p[0], q[0]), max(p[0], q[0])) for p, q in zip(told, told[1:], strict=False)})
-                votes.update(("shown", i, usual) for i in lines)
-            if len(votes) > 400_000 or len(texts) > 50_000:
-                yield out(votes, texts)
-                votes, texts = Counter(), []
-        yield out(votes, texts)
-
-    def out(votes: Counter[tuple[str, int, int]], texts: list[tuple[int, int, str, float]]) -> pa.RecordBatch:
-        keys = list(votes)
-        gone = [None] * len(keys)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([k[0] for k in keys] + ["text"] * len(texts), pa.string()),
-                pa.array([k[1] for k in keys] + [t[0] for t in texts], pa.int32()),
-                pa.array([k[2] for k in keys] + [None] * len(texts), pa.int32()),
-                pa.array(list(votes.values()) + [t[1] for t in texts], pa.int64()),
-                pa.array(gone + [t[2] for t in texts], pa.string()),
-                pa.array(gone + [t[3] for t in texts], pa.float64()),
-            ],
-            names=["kind", "i", "j", "n", "language", "ratio"],
-        )
-
-    return pages.select("host", "page").mapInArrow(run, "kind string, i int, j int, n long, language string, ratio double")
-
-
-def around_bodies(votes: list[tuple[str, int, int, int]]) -> tuple[Counter[int], int]:
-    """How many different bodies each common line stands with, and how many there are.
-
-    Body lines of copies that follow one another at least half the time belong to one body, also where
-    single lines are edited or moved; a notice follows many bodies, so it joins none.
-    """
-    seen = {i: n for kind, i, _, n in votes if kind == "seen"}
-    up = {i: i for i in seen}
+                text = "\n".join(s for (i, (_, s)), w in zip(shown.items(), words, strict=True) if i not in common and w >= BODY_WORDS)
+                if text:
+                    length, ratio = measure(text)
+                    texts.append((language_of(text), length, xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) >> 1, ratio))
+            yield out(texts, [])
+        yield out([], list(found.values()))
 
-    def root(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
+    def out(texts: list[tuple[str, int, int, float]], lines: list[str]) -> pa.RecordBatch:
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.float64()]
+        measured = [pa.array([t[c] for t in texts] + [None] * len(lines), k) for c, k in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([*measured, pa.array([None] * len(texts) + lines, pa.string())], names=["language", "length", "text", "ratio", "line"])
 
-    for kind, i, j, n in votes:
-        if kind == "next" and 2 * n >= max(seen[i], seen[j]):
-            up[root(i)] = root(j)
-    copies = {(i, root(j)) for kind, i, j, _ in votes if kind == "shown"}
-    around = Counter({i: n for kind, i, _, n in votes if kind == "own"})
-    around.update(i for i, _ in copies)
-    return around, sum(n for kind, _, _, n in votes if kind == "page") + len({r for _, r in copies})
+    return pages.select("host", "page").mapInArrow(run, "language string, length int, text long, ratio double, line string")
 
 
 def learn_corpus(pages: DataFrame, least_share: float = FURNITURE_SHARE) -> Corpus:
     """Two passes over all (host, page) rows. Lines count once a body, however many copies of it there are.
 
-    Lines that are held against bodies are at most (lines per page) / (``least_share`` x COMMON_SHARE).
+    Every line of two rows or more is held against bodies, in tables. Lines that the driver gets are at most (lines
+    per page) / (``least_share`` x COMMON_SHARE), those of many rows, and the furniture.
     """
-    n = pages.where("page is not null and page <> ''").count()
-    rows = line_counts(pages, least_share).where(F.col("n") >= max(2, COMMON_SHARE * least_share * n)).collect()
-    lines = sorted((r["line"], r["n"]) for r in rows)
-    told = materialize(body_votes(pages, {f: (i, c) for i, (f, c) in enumerate(lines)}), "votes")
-    votes = [tuple(r) for r in told.where("kind <> 'text'").groupBy("kind", "i", "j").agg(F.sum("n").alias("n")).toLocalIterator()]
-    around, bodies = around_bodies(votes)
+    lines = materialize(page_lines(pages), "lines")
+    counts = materialize(line_counts(lines), "counts")
+    least = max(2, COMMON_SHARE * least_share * lines.count())
+    many = counts.where(F.col("n") >= least)
+    common = {r["line"]: r["n"] for r in many.toLocalIterator()}
+    votes = materialize(body_votes(lines, counts, common, least), "votes")
+    around, bodies = around_bodies(votes, many)
+    furniture = frozenset(r["line"] for r in around.where(F.col("n") >= max(2, least_share * bodies)).toLocalIterator())
+    told = materialize(body_texts(pages, frozenset(common), furniture), "texts")
     # Texts that are alike count once; at most languages x length classes rows.
-    once = told.where("kind = 'text'").groupBy("language", "i", "n").agg(F.min("ratio").alias("ratio"))
-    usual = once.groupBy("language", "i").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("ratio", [0.25, 0.5, 0.75], 1000).alias("q")).collect()
-    release(told)
-    furniture = frozenset(f for i, (f, _) in enumerate(lines) if around[i] >= max(2, least_share * bodies))
-    return Corpus(furniture, fit_usual([(r["language"], r["i"], r["n"], list(r["q"])) for r in usual]))
+    once = told.where("line is null").groupBy("language", "length", "text").agg(F.min("ratio").alias("ratio"))
+    usual = once.groupBy("language", "length").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("ratio", [0.25, 0.5, 0.75], 1000).alias("q")).collect()
+    keys = frozenset(r["line"] for r in told.where("line is not null").select("line").distinct().collect())
+    for table in (lines, counts, votes, around, told):
+        release(table)
+    return Corpus(keys, fit_usual([(r["language"], r["length"], r["n"], list(r["q"])) for r in usual]))
 
 
 @dataclass

@@ -1,9 +1,10 @@
 import random
+import re
 
 import pytest
 
 from quillspan.llm.layout import CUT, blocks_of, render
-from quillspan.llm.mainbody import Corpus, Usual, fit_usual, judge, keyword_pages, language_of, learn_corpus, main_pieces, main_text
+from quillspan.llm.mainbody import Corpus, Usual, bodies_of, fit_usual, judge, keyword_pages, language_of, learn_corpus, line_counts, line_form, main_pieces, main_text, page_lines
 
 SENTENCES = [f"The {a} {n} {v} that {n2} after the {e}, and {n} number {i} stayed where it was." for i, (a, n, v, n2, e) in enumerate([("old", "mill", "needs", "harbour", "flood"), ("damp", "kiln", "faces", "ferry", "sale"), ("late", "bridge", "slowed", "orchard", "survey"), ("bright", "bakery", "lost", "museum", "frost"), ("heavy", "lantern", "feeds", "quarry", "summer")])]
 
@@ -79,6 +80,50 @@ def test_copies_of_one_article_are_one_body(spark):
     assert {r["crawl_id"] for r in keyword_pages(df, ["crawl_id"]).where("keywords_only").collect()} == {200 + i for i in range(20)}
 
 
+def test_words_with_digits_are_masked():
+    rng = random.Random(7)
+    for _ in range(3000):
+        line = "a b c d " + "".join(rng.choices("a_é1٣²½0 -.9Ⅷ一b", k=9))
+        assert line_form(line, []) == re.sub(r"\b[^\W\d]*\d\w*", "0", line)
+
+
+def told(name, extra=""):
+    """A small page: four lines of its own article, and further lines."""
+    return f"<html><body><h1>{name}</h1>" + "".join(f"<p>In {name} the {x} was seen by all of them on that day.</p>" for x in ("mill", "barn", "weir", "kiln")) + f"{extra}</body></html>"
+
+
+def test_lines_of_few_rows_are_held_against_bodies(spark):
+    """Where most rows are copies, a hundredth of all different bodies is less than a thousandth of the rows."""
+    rows = [("site.test", told("Aston")) for _ in range(2960)] + [("site.test", told(f"Place{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}", "<div>Told by a friend</div>" if i in (3, 30) else "")) for i in range(40)]
+    df = spark.createDataFrame(rows, "host string, page string")
+    assert learn_corpus(df.repartition(1)).furniture == learn_corpus(df.repartition(7)).furniture == {"Told by a friend"}
+
+
+def test_small_groups_of_copies_are_one_body_each(spark):
+    names = ["".join("abcdefghij"[int(c)] for c in f"{i:03}") for i in range(100)]
+    copies = [("site.test", told(f"Copy{n}")) for n in names[:50] for _ in range(5)]
+    own = [("site.test", told(f"Own{n}", "<div>Told by a friend</div>" if k < 22 else "")) for k, n in enumerate(names[50:])]
+    df = spark.createDataFrame(copies + own, "host string, page string").repartition(3)
+    assert learn_corpus(df, 0.2).furniture == {"Told by a friend"}
+
+
+def test_line_counts_are_whole_however_rows_are_dealt(spark):
+    rows = [("site.test", told(f"Place{'abcdefghij'[i % 10]}", "<div>Told by a friend</div>" if i % 1000 == 0 else "")) for i in range(4000)]
+    df = spark.createDataFrame(rows, "host string, page string")
+    for parts in (1, 9):
+        got = sorted(r["n"] for r in line_counts(page_lines(df.repartition(parts))).collect())
+        assert got == [4] + [400] * 50
+
+
+def test_bodies_of_many_lines_are_found_in_tables(spark):
+    edges = spark.createDataFrame([(1, 2), (5, 6), (2, 3), (9, 8), (8, 3)], "a long, b long")
+    for limit in (0, 100):
+        groups = {}
+        for r in bodies_of(edges, limit).collect():
+            groups.setdefault(r["root"], set()).add(r["node"])
+        assert sorted(map(sorted, groups.values())) == [[1, 2, 3, 8, 9], [5, 6]]
+
+
 def test_repeated_and_long_pages(spark):
     long = "<p>" + SENTENCES[0] * 4000 + "</p>"
     df = spark.createDataFrame([(1, "a", long), (1, "a", long)], "crawl_id long, host string, page string")
