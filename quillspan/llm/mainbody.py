@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.layout import CUT, Block, Layout, blocks_of, render
+from quillspan.llm.layout import Block, Layout, blocks_of, render, tags_of
 from quillspan.llm.nearcopies import components
 from quillspan.operators.joins import BROADCAST_ROWS
 from quillspan.session import materialize, release
@@ -61,7 +61,12 @@ _NAME = re.compile(r"\b(?=([A-ZÀ-Þ][\w'-]*)( [A-ZÀ-Þ][\w'-]*)?)")
 #: Forms of longer lines are kept as their ends and a hash.
 LONG_LINE = 240
 _SEPARATED = re.compile(r"\s*(?:[>»·|•]|&gt;|\s[–—/-]\s)\s*|\s{2,}")
+#: One of these is in any line that _SEPARATED cuts and whose space is blanks only, as isprintable() tells.
+_SEPARATORS = (">", "·", "|", "•", "»", "&gt;", " - ", " – ", " — ", " / ", "  ")
 _FROM_DIGIT = re.compile(r"\d\w*")
+_WORD_REST = re.compile(r"\w*")
+#: All bytes but those that begin a decimal digit outside ASCII in UTF-8.
+_NO_WIDE_DIGIT = bytes(set(range(256)) - {0xD9, 0xDB, 0xDF, 0xE0, 0xE1, 0xEA, 0xEF, 0xF0})
 _WORDS = re.compile(r"[^\W\d_]+")
 #: Frequent words by which a text's language is told.
 _FREQUENT = {
@@ -86,16 +91,15 @@ def language_of(text: str) -> str:
     """The language whose frequent words make up most of the text, and LANGUAGE_WORDS of it or more; else "latin"
     or "other" by the script of most letters. Strung keywords have no frequent words, so no language."""
     words = text.lower().split()
-    counts = Counter(words)
     votes: Counter[str] = Counter()
-    for w in counts.keys() & _LANGUAGES_OF.keys():
+    for w, n in Counter(filter(_LANGUAGES_OF.__contains__, words)).items():
         for language in _LANGUAGES_OF[w]:
-            votes[language] += counts[w]
+            votes[language] += n
     if votes:
         best = max(_FREQUENT, key=votes.__getitem__)
         if votes[best] >= LANGUAGE_WORDS * len(words):
             return best
-    wide = sum(c > "ͯ" for c in text)
+    wide = 0 if text.isascii() else sum(c > "ͯ" for c in text)
     return "latin" if wide * 2 < len(text) else "other"
 
 
@@ -153,15 +157,31 @@ class Corpus:
     furniture: frozenset[str] = frozenset()
     usual: Usual = field(default_factory=Usual)
     ends: set[str] = field(default_factory=set)
+    #: How lines with one of the ends begin or stop, in two characters; the first three words of long lines' keys.
+    edges: set[str] = field(default_factory=set)
+    long: set[str] = field(default_factory=set)
 
     def __post_init__(self) -> None:
         for f in self.furniture:
             if "0" in f:
                 w = f.split()
                 self.ends |= {" ".join(w[:3]), " ".join(w[-3:])}
+            if "\0" in f:
+                self.long.add(" ".join(f.split(None, 3)[:3]))
+        self.edges |= {x for e in self.ends for x in (e[:2], e[-2:])}
+
+    def holds(self, form: str) -> bool:
+        """Whether lines of this form are furniture."""
+        if len(form) < LONG_LINE:
+            return form in self.furniture
+        first = form.split(None, 3)[:3]
+        return (len(first) < 3 or " ".join(first) in self.long) and _key(form) in self.furniture
 
     def names_another_site(self, line: str) -> bool:
         """Whether ``line`` is furniture but for one name: pages are copied from site to site."""
+        first, last = line[:2], line[-2:]
+        if first not in self.edges and last not in self.edges and first.isprintable() and last.isprintable() and " " not in (first[:1], last[-1:]):
+            return False
         if " ".join(line.split(None, 3)[:3]) not in self.ends and " ".join(line.rsplit(None, 3)[-3:]) not in self.ends:
             return False
         line = _masked(line)
@@ -181,12 +201,24 @@ def site_names(host: str | None, title: str) -> list[str]:
 def _masked(line: str) -> str:
     """``line`` with 0 for each word that has a digit (sought from the digit, as few words have one)."""
     out, at = [], 0
-    for m in _FROM_DIGIT.finditer(line):
-        start = m.start()
-        while start > at and (line[start - 1].isalnum() or line[start - 1] == "_"):
-            start -= 1
-        out.append(line[at:start])
-        at = m.end()
+    if line.isascii() or not line.encode("utf-8", "replace").translate(None, _NO_WIDE_DIGIT):
+        for digit in "123456789":
+            line = line.replace(digit, "0")
+        found = line.find("0")
+        while found >= 0:
+            start = found
+            while start > at and (line[start - 1].isalnum() or line[start - 1] == "_"):
+                start -= 1
+            out.append(line[at:start])
+            at = _WORD_REST.match(line, found).end()
+            found = line.find("0", at)
+    else:
+        for m in _FROM_DIGIT.finditer(line):
+            start = m.start()
+            while start > at and (line[start - 1].isalnum() or line[start - 1] == "_"):
+                start -= 1
+            out.append(line[at:start])
+            at = m.end()
     return "0".join([*out, line[at:]]) if at else line
 
 
@@ -198,6 +230,21 @@ def line_form(line: str, names: list[str]) -> str:
     return _masked(line) if line.count(" ") > 2 else line
 
 
+def line_forms(lines: list[str], names: list[str]) -> list[str]:
+    """``line_form`` of each line, made of all at once."""
+    text = "\n".join(lines)
+    if not lines or text.count("\n") >= len(lines):
+        return [line_form(x, names) for x in lines]
+    for n in names:
+        if n in text and "\n" not in n:
+            text = text.replace(n, "0")
+    masked = _masked(text)
+    forms = text.split("\n")
+    if masked == text:
+        return forms
+    return [m if f.count(" ") > 2 else f for f, m in zip(forms, masked.split("\n"), strict=True)]
+
+
 _TITLE = re.compile(r"<title\b[^>]*>([^<]*)", re.I)
 _CODE = re.compile(r"<(script|style|title)\b.*?</\1(?=[\s>])", re.I | re.S)
 
@@ -209,25 +256,20 @@ def _key(form: str) -> str:
     return f"{' '.join(form.split(None, 3)[:3])} \0{xxhash.xxh3_64_hexdigest(form)} {' '.join(form.rsplit(None, 3)[-3:])}"
 
 
-def _form_of(line: str, names: list[str]) -> str:
-    return _key(line_form(line, names))
-
-
 def _page_names(page: str, host: str | None) -> list[str]:
     t = _TITLE.search(page)
     return site_names(host, html.unescape(t.group(1)).strip() if t else "")
 
 
-def _line_id(key: str) -> int:
-    """A signed 64-bit name of a line's key."""
-    return xxhash.xxh3_64_intdigest(key) - (1 << 63)
-
-
 def _visible_lines(page: str, host: str | None) -> dict[int, tuple[str, str]]:
-    """By its id, the key and the text of each different line of a page, in order."""
-    names = _page_names(page, host)
-    keys = {_form_of(s, names): s for x in CUT.split(_CODE.sub("<", page)) if (s := x.strip())}
-    return {_line_id(k): (k, s) for k, s in keys.items()}
+    """By its id (a signed 64-bit name of its key), the key and the text of each different line of a page, in order."""
+    shown = "\n".join([x for _, _, x in tags_of(_CODE.sub("<", page)) if x])
+    if "\r" in shown:
+        shown = shown.replace("\r", "\n")
+    lines = [s for x in shown.split("\n") if (s := x.strip())]
+    forms = line_forms(lines, _page_names(page, host))
+    keys = dict(zip([f if len(f) < LONG_LINE else _key(f) for f in forms], lines, strict=True))
+    return {xxhash.xxh3_64_intdigest(k) - (1 << 63): (k, s) for k, s in keys.items()}
 
 
 def _body_words(words: list[int]) -> list[int]:
@@ -366,12 +408,13 @@ def body_texts(pages: DataFrame, common: frozenset[int], furniture: frozenset[in
                 if not page:
                     continue
                 shown = _visible_lines(page, host.as_py())
-                found |= {i: shown[i][0] for i in shown.keys() & furniture}
+                found |= {i: shown[i][0] for i in furniture.intersection(shown)}
                 words = [s.count(" ") + 1 for _, s in shown.values()]
-                body = _body_words(words)
-                if 2 * sum(w for i, w in zip(shown, body, strict=True) if i not in common) < sum(body):
+                least = BODY_WORDS if max(words, default=0) >= BODY_WORDS else 0
+                rare = [(s, w) for (i, (_, s)), w in zip(shown.items(), words, strict=True) if i not in common]
+                if 2 * sum([w for _, w in rare if w >= least]) < sum([w for w in words if w >= least]):
                     continue
-                text = "\n".join(s for (i, (_, s)), w in zip(shown.items(), words, strict=True) if i not in common and w >= BODY_WORDS)
+                text = "\n".join([s for s, w in rare if w >= BODY_WORDS])
                 if text:
                     length, ratio = measure(text)
                     texts.append((language_of(text), length, xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) >> 1, ratio))
@@ -501,25 +544,29 @@ def _strung(blocks: list[Block], texts: list[str], kinds: list[str], ends: list[
 def judge(page: str, host: str | None, corpus: Corpus) -> Judged:
     """Blocks of a page told apart: prose, furniture, links, and the main body among them."""
     layout = blocks_of(page)
-    names, furniture = site_names(host, layout.title), corpus.furniture
-    blocks = layout.blocks
+    names, blocks = site_names(host, layout.title), layout.blocks
+    texts = [b.text for b in blocks]
+    asked = [b.texts[0] for b in blocks] + [t for b, t in zip(blocks, texts, strict=True) if len(b.texts) > 1]
+    forms = dict(zip(asked, line_forms(asked, names), strict=True))
+    whole = "\n".join(asked)
+    separators = [c for c in _SEPARATORS if c.strip() in whole and c in whole]  # single characters are sought faster
+
+    def known(s: str) -> bool:
+        form = forms.get(s)
+        if form is None:
+            form = line_form(s, names)
+        if corpus.holds(form) or s != form and corpus.holds(s) or corpus.names_another_site(s):
+            return True
+        if s.isprintable() and not (any(c in s for c in separators) if s in forms else any(c in s for c in _SEPARATORS)):
+            return False
+        parts = [p for p in _SEPARATED.split(s) if p]
+        return len(parts) > 1 and all(corpus.holds(line_form(p, names)) for p in parts)
 
     def is_furniture(b: Block, text: str) -> bool:
-        def known(s: str) -> bool:
-            if _key(s) in furniture or _form_of(s, names) in furniture:
-                return True
-            if corpus.names_another_site(s):
-                return True
-            if s.isprintable() and not any(c in s for c in (">", "·", "|", "-", "–", "/", "•", "»", "—", "&", "  ")):
-                return False
-            parts = [p for p in _SEPARATED.split(s) if p]
-            return len(parts) > 1 and all(_form_of(p, names) in furniture for p in parts)
-
-        return all(known(t) for t in b.texts) or len(b.texts) > 1 and known(text)
+        return all(map(known, b.texts)) or len(b.texts) > 1 and known(text)
 
     kinds: list[str] = []
     ends: list[int] = []
-    texts = [b.text for b in blocks]
     for b, text in zip(blocks, texts, strict=True):
         sentences = len(_SENTENCE_END.findall(text))
         if is_furniture(b, text):
